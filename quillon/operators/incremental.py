@@ -46,12 +46,12 @@ class MerkleTree:
     """Digests of key ranges. leaves is the number of ranges, a power of fanout, chosen from the row count so that a
     leaf holds about rows_per_leaf listings whatever the size; the tree itself then has about rows / rows_per_leaf rows."""
 
-    def __init__(self, fanout: int = 16, rows_per_leaf: int = 8, depth: int | None = None):
+    def __init__(self, fanout: int = 256, rows_per_leaf: int = 8, depth: int | None = None):
         self.fanout, self.rows_per_leaf, self.depth = fanout, rows_per_leaf, depth
 
     def sized_for(self, rows: int) -> "MerkleTree":
         depth = 1
-        while self.fanout**depth * self.rows_per_leaf < rows and depth < 8:
+        while self.fanout**depth * self.rows_per_leaf < rows and depth < 7:
             depth += 1
         return MerkleTree(self.fanout, self.rows_per_leaf, depth)
 
@@ -64,17 +64,12 @@ class MerkleTree:
         return state.groupBy(self.leaf_of(F.col("key")).alias("node")).agg(digest.alias("digest")).select(F.lit(self.depth).alias("level"), "node", "digest")
 
     def tree(self, leaves: DataFrame) -> DataFrame:
-        """All levels, the root at level 0: each parent digests its children."""
-        levels, below = [leaves], leaves
-        for level in range(self.depth - 1, -1, -1):
-            parent = F.floor(F.col("node") / self.fanout).cast("long")
-            digest = F.struct(F.sum("digest.n").alias("n"), F.bit_xor(F.xxhash64("node", "digest")).alias("x"), F.bit_xor(F.xxhash64("digest", "node", F.lit(1))).alias("y"))
-            below = below.groupBy(parent.alias("node")).agg(digest.alias("digest")).select(F.lit(level).alias("level"), "node", "digest")
-            levels.append(below)
-        out = levels[0]
-        for x in levels[1:]:
-            out = out.unionByName(x)
-        return out
+        """All levels, the root at level 0. A node's digest covers the hashes of all leaves under it, so that every
+        level comes from one aggregation of the leaves."""
+        ups = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.floor(F.col("node") / self.fanout ** (self.depth - i)).cast("long").alias("up")) for i in range(self.depth)]))
+        digest = F.struct(F.sum("digest.n").alias("n"), F.bit_xor(F.xxhash64("node", "digest")).alias("x"), F.bit_xor(F.xxhash64("digest", "node", F.lit(1))).alias("y"))
+        above = leaves.withColumn("at", ups).groupBy(F.col("at.level").alias("level"), F.col("at.up").alias("up")).agg(digest.alias("digest"))
+        return leaves.unionByName(above.select("level", F.col("up").alias("node"), "digest"))
 
     def changed_leaves(self, current: DataFrame, saved: DataFrame) -> DataFrame:
         """(node): leaves whose digests differ, found from the root down; below an equal node nothing is joined."""
