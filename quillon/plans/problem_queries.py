@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.operators.incremental import due_records
+from quillon.operators.timestamps import published_norm, source_zones
 from quillon.session import table
 
 
@@ -12,7 +13,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due_records(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "book_source"))
 
 
-QUERIES = {"p6_found": p6_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = table(spark, sf_dir, "raw_book").select("raw_id", "source_id", "published_date", "fetched_at")
+    return published_norm(books, table(spark, sf_dir, "source_meta")).where("published_norm is not null").select("raw_id", "published_norm")
+
+
+def p3_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone each source's own timestamps point to, beside the declared one."""
+    books = table(spark, sf_dir, "raw_book").select("source_id", "published_date", "fetched_at")
+    return source_zones(books, table(spark, sf_dir, "source_meta"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_zones": p3_zones, "p6_found": p6_found}
 
 SQL = {
     "p6_found": """
