@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.ranking import combined_ranking, top_of_group
+from quillon.llm.reading_level import reading_levels
 from quillon.llm.sql import SQL as SQL
 from quillon.llm.survivor import real_date, real_pages, real_text, survivors
 from quillon.session import table
@@ -34,4 +35,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(books, "dedupe_key", "norm_id", "source_id", "seen_at", trust, fields)
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found}
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "level_label").select(F.col("doc_id").alias("id"), F.col("reading_level").alias("level"))
+    return reading_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How demanding each source is: documents and mean difficulty by source and level."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
