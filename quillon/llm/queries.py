@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.packing import fill_report, packed
 from quillon.llm.ranking import combined_ranking, top_of_group
 from quillon.llm.reading_level import reading_levels
 from quillon.llm.sql import SQL as SQL
 from quillon.llm.survivor import real_date, real_pages, real_text, survivors
+from quillon.llm.tokens import n_tokens
 from quillon.session import table
 
 
@@ -35,6 +37,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(books, "dedupe_key", "norm_id", "source_id", "seen_at", trust, fields)
 
 
+def _sized(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *more, n_tokens(F.col("text")).alias("tokens"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in containers of every pack_spec capacity."""
+    specs = table(spark, sf_dir, "pack_spec").select("spec_id", F.col("capacity_tokens").alias("capacity"))
+    return packed(_sized(spark, sf_dir), specs, "doc_id", "tokens").withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill_report(p8_packed(spark, sf_dir))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "level_label").select(F.col("doc_id").alias("id"), F.col("reading_level").alias("level"))
     return reading_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
@@ -50,4 +67,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
