@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.mixing import mixed, text_quality
 from quillon.llm.packing import fill_report, packed
 from quillon.llm.ranking import combined_ranking, top_of_group
 from quillon.llm.reading_level import reading_levels
 from quillon.llm.sql import SQL as SQL
 from quillon.llm.survivor import real_date, real_pages, real_text, survivors
 from quillon.llm.tokens import n_tokens
-from quillon.session import table
+from quillon.session import small, table
 
 
 def _lead_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,25 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p8_packed(spark, sf_dir))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    items = documents.select("source", F.col("doc_id").alias("id"), n_tokens(F.col("text")).alias("size"), text_quality(F.col("text")).alias("weight"))
+    return mixed(items, table(spark, sf_dir, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their repeat counts, and the shares their sources reach."""
+    selection, report = _mix(spark, sf_dir)
+    shares = report.select(F.col("mix_id").alias("m"), F.col("source").alias("s"), "target_share", "reached_share")
+    joined = selection.join(small(shares, 100_000), (F.col("mix_id") == F.col("m")) & (F.col("source") == F.col("s")))
+    return joined.select("mix_id", "source", F.col("id").alias("doc_id"), F.col("size").alias("tokens"), "repeats", "target_share", "reached_share")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source of every mix."""
+    return _mix(spark, sf_dir)[1]
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "level_label").select(F.col("doc_id").alias("id"), F.col("reading_level").alias("level"))
     return reading_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
@@ -67,4 +87,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
