@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.canonical import mapped
 from quillon.llm.mixing import mixed, text_quality
 from quillon.llm.packing import fill_report, packed
 from quillon.llm.ranking import combined_ranking, top_of_group
 from quillon.llm.reading_level import reading_levels
 from quillon.llm.sql import SQL as SQL
 from quillon.llm.survivor import real_date, real_pages, real_text, survivors
+from quillon.llm.thesaurus import CATEGORIES
 from quillon.llm.tokens import n_tokens
 from quillon.session import small, table
 
@@ -72,6 +74,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = table(spark, sf_dir, "raw_book")
+    publishers = books.where("publisher is not null").select("raw_id", F.lit("publisher").alias("field_name"), F.lit(0).alias("item_pos"), F.col("publisher").alias("value"))
+    categories = books.select("raw_id", F.lit("category").alias("field_name"), F.posexplode("categories").alias("item_pos", "value"))
+    found = mapped(publishers.unionByName(categories), "field_name", "value", table(spark, sf_dir, "canon_value"), {"category": CATEGORIES})
+    return found.select("raw_id", "field_name", "item_pos", "ref_id")
+
+
+def p7_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed values that mean no entry, with how often they occur."""
+    books = table(spark, sf_dir, "raw_book")
+    values = books.select(F.lit("publisher").alias("field_name"), F.col("publisher").alias("value")).unionByName(books.select(F.lit("category").alias("field_name"), F.explode("categories").alias("value")))
+    distinct = values.where("value is not null").groupBy("field_name", "value").agg(F.count("*").alias("rows"))
+    return mapped(distinct, "field_name", "value", table(spark, sf_dir, "canon_value"), {"category": CATEGORIES}).where("ref_id = -1").select("field_name", "value", "rows")
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "level_label").select(F.col("doc_id").alias("id"), F.col("reading_level").alias("level"))
     return reading_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
@@ -87,4 +105,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
