@@ -14,6 +14,7 @@ from quillon.llm.sql import SQL as SQL
 from quillon.llm.survivor import real_date, real_pages, real_text, survivors
 from quillon.llm.thesaurus import CATEGORIES
 from quillon.llm.tokens import n_tokens
+from quillon.llm.variants import identities, same_name_pairs
 from quillon.session import small, table
 
 
@@ -74,6 +75,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_name_pairs(table(spark, sf_dir, "normalized_author").select("author_id", "display_name"), "author_id", "display_name")
+
+
+def p5_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling in raw_book.authors with the key of the person or organisation it names."""
+    names = table(spark, sf_dir, "raw_book").select(F.explode("authors").alias("a")).select(F.col("a.name").alias("name"))
+    return identities(names, "name")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "raw_book")
     publishers = books.where("publisher is not null").select("raw_id", F.lit("publisher").alias("field_name"), F.lit(0).alias("item_pos"), F.col("publisher").alias("value"))
@@ -105,4 +116,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
