@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.canonical import mapped
+from quillon.llm.matching import matched_books, matched_pairs
 from quillon.llm.mixing import mixed, text_quality
 from quillon.llm.packing import fill_report, packed
 from quillon.llm.ranking import combined_ranking, top_of_group
@@ -75,6 +76,24 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return matched_books(table(spark, sf_dir, "raw_book").select("raw_id", "source_id", "title", "authors", "isbn13", "isbn10", "publisher"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = _books(spark, sf_dir)
+    several = members.groupBy("book").agg(F.count_distinct("source").alias("k")).where("k > 1").select("book")
+    rows = members.join(several, "book", "left_semi")
+    a = rows.select(F.col("id").alias("raw_id_a"), F.col("source").alias("sa"), "book")
+    b = rows.select(F.col("id").alias("raw_id_b"), F.col("source").alias("sb"), "book")
+    return a.join(b, "book").where("raw_id_a < raw_id_b and not (sa <=> sb)").select("raw_id_a", "raw_id_b")
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with their confidence."""
+    return matched_pairs(*_books(spark, sf_dir), "raw_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_name_pairs(table(spark, sf_dir, "normalized_author").select("author_id", "display_name"), "author_id", "display_name")
 
@@ -116,4 +135,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
