@@ -79,7 +79,8 @@ def packed(items: DataFrame, specs: DataFrame, id_col: str, size_col: str, strea
     """(spec_id, capacity, id, piece, start, size, container, fill) with a row for each piece of each item under each
     spec (spec_id, capacity). container is unique within a spec; fill is its sum of sizes. items need a size column."""
     kind = items.schema[id_col].dataType.simpleString()
-    base = items.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n"))
+    # staged, so that sizes that are costly to compute are computed once
+    base = stage(items.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n")))
     capacities = specs.where("capacity > 0").select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity").cast("long").alias("capacity")).distinct()
     listed = [(r["spec_id"], r["capacity"]) for r in capacities.limit(max_specs + 1).collect()]
     if len(listed) > max_specs:
