@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s  -  　]"
+SPACE = r"[\s\u00A0\u2000-\u200A\u202F\u205F\u3000]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: Name suffixes and forms of address that do not tell people apart.
 NAME_SUFFIXES = ["phd", r"ph\.d", "md", r"m\.d", "jr", "sr", "ii", "iii", "iv", "esq", "mba", "dds"]
@@ -30,7 +30,7 @@ _ACCENTED, _PLAIN = _accent_map()
 
 
 def strip_accents(x: Column) -> Column:
-    return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"[\u0300-\u036F]", "")
 
 
 def fold(x: Column) -> Column:

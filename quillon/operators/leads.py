@@ -46,16 +46,21 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half up on the binary value, the same in every engine."""
+    return F.floor(x * 10**places + F.lit(0.5)) / 10**places
+
+
 def weighted_score(signals: dict[str, Column], weights: dict[str, float]) -> Column:
     """100 times the weighted mean of the signals, to two places; a missing signal is 0."""
     total = sum(weights.values())
-    return F.round(100 * sum((F.lit(w) * F.coalesce(signals.get(s, F.lit(0.0)), F.lit(0.0)) for s, w in weights.items()), F.lit(0.0)) / total, 2)
+    return rounded(100 * sum((F.lit(w) * F.coalesce(signals.get(s, F.lit(0.0)), F.lit(0.0)) for s, w in weights.items()), F.lit(0.0)) / total, 2)
 
 
 def reasons(signals: dict[str, Column], weights: dict[str, float]) -> Column:
     """array<struct<signal, value, weight, points>> of the signals above 0, most points first, ties in profile order."""
     total = sum(weights.values())
-    rows = [F.struct((-F.round(100 * w * signals[s] / total, 2)).alias("o"), F.lit(i).alias("i"), F.lit(s).alias("signal"), F.round(signals[s], 3).alias("value"), F.lit(w).alias("weight"), F.round(100 * w * signals[s] / total, 2).alias("points")) for i, (s, w) in enumerate(weights.items()) if s in signals]
+    rows = [F.struct((-rounded(100 * w * signals[s] / total, 2)).alias("o"), F.lit(i).alias("i"), F.lit(s).alias("signal"), rounded(signals[s], 3).alias("value"), F.lit(w).alias("weight"), rounded(100 * w * signals[s] / total, 2).alias("points")) for i, (s, w) in enumerate(weights.items()) if s in signals]
     sorted_rows = F.array_sort(F.filter(F.array(*rows), lambda r: r["value"] > 0))
     return F.transform(sorted_rows, lambda r: F.struct(r["signal"].alias("signal"), r["value"].alias("value"), r["weight"].alias("weight"), r["points"].alias("points")))
 

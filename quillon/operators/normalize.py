@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.dates import guarded, parse_date
 from quillon.functions.isbn import repaired
 from quillon.functions.text import clean_text, normalize_person, normalize_title, null_if_empty, person_block_key
+from quillon.session import held
 
 #: Greatest lengths of stored fields.
 CAPS = {"title": 500, "subtitle": 500, "publisher": 300, "language": 16, "description": 20_000, "cover_url": 1000, "name": 300, "key": 120, "categories": 20}
@@ -51,22 +52,25 @@ def book_dedupe_key(isbn13: Column, title: Column, first_author: Column) -> Colu
 
 def normalize_books(raw: DataFrame, as_of_year: int) -> DataFrame:
     """Normalised books of raw reports; untitled reports are dropped. raw_id and fetched_at pass through where present."""
-    df = raw.select("*", clean_text(F.col("title")).alias("_title"), repaired(F.col("isbn13"), F.col("isbn10")).alias("_isbn"), normalize_authors(F.col("authors")).alias("_authors"), guarded(parse_date(F.col("published_date")), as_of_year).alias("_date"))
-    df = df.where("_title is not null")
+    # one lambda cleans all texts: spelled out per column, the generated code would outgrow a method
+    texts = ["title", "subtitle", "publisher", "description"]
+    df = raw.select("*", held(F.transform(F.array(*texts), clean_text)).alias("_texts"))
+    df = df.select("*", *[F.col("_texts")[i].alias(f"_{c}") for i, c in enumerate(texts)]).where("_title is not null")
+    df = df.select("*", repaired(F.col("isbn13"), F.col("isbn10")).alias("_isbn"), normalize_authors(F.col("authors")).alias("_authors"), guarded(parse_date(F.col("published_date")), as_of_year).alias("_date"))
     first = F.try_element_at(F.col("_authors"), F.lit(1))["display_name"]
     passed = [F.col(c) for c in ("raw_id", "fetched_at") if c in raw.columns]
     return df.select(
         *passed,
         F.substring("_title", 1, CAPS["title"]).alias("title"),
-        capped(clean_text(F.col("subtitle")), CAPS["subtitle"]).alias("subtitle"),
+        capped(F.col("_subtitle"), CAPS["subtitle"]).alias("subtitle"),
         F.col("_isbn.isbn13").alias("isbn13"),
         F.col("_isbn.isbn10").alias("isbn10"),
         F.col("_date.date").alias("published_on"),
         F.col("_date.year").alias("published_year"),
-        capped(clean_text(F.col("publisher")), CAPS["publisher"]).alias("publisher"),
+        capped(F.col("_publisher"), CAPS["publisher"]).alias("publisher"),
         capped(F.col("language"), CAPS["language"]).alias("language"),
         "page_count",
-        capped(clean_text(F.col("description")), CAPS["description"]).alias("description"),
+        capped(F.col("_description"), CAPS["description"]).alias("description"),
         capped(F.col("cover_url"), CAPS["cover_url"]).alias("cover_url"),
         F.slice(F.array_distinct(F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: c != "")), 1, CAPS["categories"]).alias("categories"),
         "ratings_count",

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import fresh, small
+from quillon.session import fresh, held, small
 
 MONTHS = {
     1: "jan january januar janvier janv enero ene janner",
@@ -70,12 +70,6 @@ _FORMS = [
 ]
 
 
-def _held(x: Column) -> Column:
-    """x, formally not deterministic: a later filter on it then stays above this projection. Pushed down, it would put
-    the whole chain of projections into one expression."""
-    return F.when(F.monotonically_increasing_id() >= 0, x)
-
-
 def canonical(text: Column) -> Column:
     """The text as _MARK + form|year|month|day|rest, or something without the mark if it is no known form. A chain of
     replacements, each used once, so the expression grows with the number of forms and not with their combinations."""
@@ -131,7 +125,7 @@ def with_parsed(df: DataFrame, text: str, order: str, p: str, first_year: int =
     )
     inside = F.when(f == "E", e.between((first_year - 1970) * 31556952 - 86400, (last_year + 1 - 1970) * 31556952 + 86400)).otherwise(y.between(first_year, last_year))
     form = F.when(~F.coalesce(inside & ok, F.lit(False)), None).when(f == "Y", "year").when((f == "M") & m.between(1, 12), "month").when(f.isin("O", "W") & local.isNotNull(), "day").when(f.isin("D", "N") & start.isNotNull(), F.when(t, "local").otherwise("day")).when(f == "E", "epoch")
-    return df.select(*kept, _held(form).alias(p + "form"), y.alias(p + "y"), m.alias(p + "m"), local.alias(p + "local"), F.coalesce(F.col(p + "zone"), F.lit("")).alias(p + "zone"))
+    return df.select(*kept, held(form).alias(p + "form"), y.alias(p + "y"), m.alias(p + "m"), local.alias(p + "local"), F.coalesce(F.col(p + "zone"), F.lit("")).alias(p + "zone"))
 
 
 def _int(text: Column, pattern: str, group: int) -> Column:
@@ -220,7 +214,7 @@ def published_norm(rows: DataFrame, sources: DataFrame, text: str = "published_d
     df = df.withColumn(p + "at", seconds)
     y, m = F.col(p + "y").cast("string"), F.lpad(F.col(p + "m").cast("string"), 2, "0")
     value = F.when(form == "year", y).when(form == "month", F.concat(y, F.lit("-"), m)).when(form.isNotNull(), rendered(F.col(p + "at"), form == "day"))
-    return df.select(*kept, _held(value).alias(out))
+    return df.select(*kept, held(value).alias(out))
 
 
 def source_zones(rows: DataFrame, sources: DataFrame, text: str = "published_date", source: str = "source_id", ingested: str = "fetched_at") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def held(x: Column) -> Column:
+    """x, formally not deterministic: a later filter on it then stays above the projection that computes it, and later
+    projections use its value. Pushed down or inlined, it would be computed again at every use."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
