@@ -58,9 +58,11 @@ class MerkleTree:
     def leaf_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.fanout**self.depth))
 
-    def leaves(self, state: DataFrame) -> DataFrame:
-        """(level, node, digest) of the leaves of (key, state) rows; order and partitioning do not matter."""
-        digest = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", F.coalesce("state", F.lit("?")))).alias("x"), F.bit_xor(F.xxhash64(F.coalesce("state", F.lit("?")), "key", F.lit(1))).alias("y"))
+    def leaves(self, state: DataFrame, unknown: str = "?") -> DataFrame:
+        """(level, node, digest) of the leaves of (key, state) rows; order and partitioning do not matter. `unknown`
+        stands for a null state: two sides with different marks differ wherever either has one."""
+        known = F.coalesce("state", F.lit(unknown))
+        digest = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", known)).alias("x"), F.bit_xor(F.xxhash64(known, "key", F.lit(1))).alias("y"))
         return state.groupBy(self.leaf_of(F.col("key")).alias("node")).agg(digest.alias("digest")).select(F.lit(self.depth).alias("level"), "node", "digest")
 
     def tree(self, leaves: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def due_records(raw_record: DataFrame, book_source: DataFrame, tree: MerkleTree
 
     current, saved = stage(newest_records(raw_record)), stage(taken_over(book_source, raw_record))
     tree = (tree or MerkleTree()).sized_for(current.count())
-    trees = [cut(tree.tree(tree.leaves(x))) for x in (current.select("key", "state"), saved)]
+    trees = [cut(tree.tree(tree.leaves(x, mark))) for x, mark in ((current.select("key", "state"), "?now"), (saved, "?then"))]
     leaves = tree.changed_leaves(*trees)
     inside = current.join(leaves, tree.leaf_of(F.col("key")) == F.col("node"), "left_semi")
     there = saved.groupBy("key").agg(F.count("*").alias("n"), F.max("state").alias("known"), F.count("state").alias("n_known"))
@@ -149,7 +151,7 @@ class Ledger:
         else:
             tree = MerkleTree(depth=old["depth"])
             saved, saved_tree = self.spark.read.parquet(old["state"]), self.spark.read.parquet(old["tree"])
-            leaves = tree.changed_leaves(tree.tree(tree.leaves(current.select("key", "state"))), saved_tree)
+            leaves = tree.changed_leaves(tree.tree(tree.leaves(current.select("key", "state"), "?now")), saved_tree)
             inside = current.join(leaves, tree.leaf_of(F.col("key")) == F.col("node"), "left_semi")
             changed = inside.join(saved.withColumnRenamed("state", "known"), "key", "left").where(F.col("state").isNull() | ~F.col("state").eqNullSafe(F.col("known"))).drop("known")
         entry = self.publish(changed.select("record_id", "key", "state"), current.select("key", "state"), tree, fail_before_commit)

@@ -32,14 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder this process chose for a session whose settings name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else (as in tests) a temporary one of this session."""
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), f"quillon-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        found = _OWN.setdefault(context.applicationId, os.path.join(tempfile.gettempdir(), f"quillon-{context.applicationId}"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found
 
 
