@@ -75,11 +75,12 @@ def distance(a: str, b: str, limit: float) -> float:
     """Weighted Damerau-Levenshtein distance (swaps of neighbours); beyond limit it may stop early at limit + 1."""
     if a == b:
         return 0.0
-    # what both begin and end with costs nothing; one equal letter stays in front, to tell a doubled one
+    # what both begin and end with costs nothing; one equal letter stays at either end, to tell a doubled one
     most = min(len(a), len(b))
     k = 0
     while k < most and a[-1 - k] == b[-1 - k]:
         k += 1
+    k = max(0, k - 1)
     a, b = a[: len(a) - k], b[: len(b) - k]
     most, k = min(len(a), len(b)), 0
     while k < most and a[k] == b[k]:

@@ -41,10 +41,11 @@ def fold(text: str) -> str:
 
 
 def skeleton(word: str) -> str:
-    """A word without what scripts and scanners change: umlauts written out, 0 for o, 1 for l, rn for m."""
+    """A word without accents and without what scanners change: 0 for o, 1 for l, rn for m. An umlaut written out is one
+    letter more, which the comparisons within one edit bridge."""
     w = fold(word).lower()
     w = w.replace("0", "o").replace("1", "l").replace("5", "s").replace("rn", "m").replace("vv", "w")
-    return re.sub(r"[^a-z]", "", re.sub(r"([aou])e", r"\1", w))
+    return re.sub(r"[^a-z]", "", w)
 
 
 @lru_cache(maxsize=200_000)

@@ -7,13 +7,13 @@ from quillon.llm.survivor import real_date, real_pages, real_text, survivors, tr
 
 SCHEMA = "id bigint, k string, publisher string, pages int, day date, src string, seen timestamp, _n int"
 T = lambda d: datetime(2025, 1, d)
-FIELDS = {"publisher": real_text(F.col("publisher")), "pages": real_pages(F.col("pages")), "day": real_date(F.col("day"))}
+FIELDS = lambda: {"publisher": real_text(F.col("publisher")), "pages": real_pages(F.col("pages")), "day": real_date(F.col("day"))}
 
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
     trust = spark.createDataFrame([("hi", 0.9), ("lo", 0.1)], "source string, trust double")
-    return {(r["k"], r["field_name"]): r["id"] for r in survivors(df, "k", "id", "src", "seen", trust, FIELDS, **kw).collect()}
+    return {(r["k"], r["field_name"]): r["id"] for r in survivors(df, "k", "id", "src", "seen", trust, FIELDS(), **kw).collect()}
 
 
 @pytest.mark.parametrize("value, real", [("Hale House", True), ("", False), ("  ", False), (None, False), ("N.A.", False), ("Unknown publisher", False), ("Hale Ho…", False), ("Hale Ho ...", False), ("???", False), ("xxx", False), ("HHX", True)])
