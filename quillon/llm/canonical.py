@@ -92,14 +92,12 @@ def distance(a: str, b: str, limit: float) -> float:
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [float(i)]
         for j, y in enumerate(b, 1):
-            if x == y:
-                best = before[j - 1]
-            else:
-                drop = 0.7 if i > 1 and a[i - 2] == x else 1.0
-                add = 0.7 if j > 1 and b[j - 2] == y else 1.0
-                best = min(before[j] + drop, row[j - 1] + add, before[j - 1] + (0.8 if (x, y) in _NEAR else 1.0))
-                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                    best = min(best, older[j - 2] + 0.8)
+            drop = 0.7 if i > 1 and a[i - 2] == x else 1.0
+            add = 0.7 if j > 1 and b[j - 2] == y else 1.0
+            change = 0.0 if x == y else 0.8 if (x, y) in _NEAR else 1.0
+            best = min(before[j] + drop, row[j - 1] + add, before[j - 1] + change)
+            if x != y and i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, older[j - 2] + 0.8)
             row.append(best)
         if min(row) > limit:
             return limit + 1
