@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, isbn, text, urls
-from quillon.operators import crawlplan, leads, merge, normalize, resolve
+from quillon.operators import crawlplan, enrich, leads, merge, normalize, resolve
 from quillon.session import small, table
 
 AS_OF = (2026, 11)
@@ -379,6 +379,29 @@ def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "crawl_run").select("run_id", "source_id", "started_at").orderBy(F.desc("started_at"), "run_id").limit(20)
 
 
+@query("""WITH f AS (SELECT a.normalized_name AS author_id, u.kind, CASE WHEN u.kind = 'email' THEN lower(trim(u.value)) ELSE trim(u.value) END AS value, b.source_id, coalesce(m.trust, 0.5) AS confidence, a.author_id AS place
+  FROM normalized_author a JOIN raw_book b USING (raw_id) LEFT JOIN source_meta m ON m.id = b.source_id, LATERAL (VALUES ('email', a.email), ('website', a.website), ('bio', a.bio)) u(kind, value) WHERE trim(u.value) <> ''),
+g AS (SELECT *, left(value, 500) AS v FROM f), s AS (SELECT author_id FROM f GROUP BY 1 HAVING max(confidence) >= 0.55)
+SELECT author_id, kind, v AS value, source_id, confidence FROM g SEMI JOIN s USING (author_id)
+QUALIFY row_number() OVER (PARTITION BY author_id, kind, CASE WHEN kind = 'email' THEN v ELSE '' END ORDER BY confidence DESC, place, v) = 1""")
+def author_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contacts and biographies of each author with the source that vouches for them."""
+    meta = small(table(spark, sf, "source_meta").select(F.col("id").alias("source_id"), "trust"), 100_000)
+    books = table(spark, sf, "raw_book").select("raw_id", "source_id").join(meta, "source_id", "left")
+    rows = table(spark, sf, "normalized_author").join(books, "raw_id")
+    kinds = {k: F.col(k) for k in ("email", "website", "bio")}
+    facts = enrich.facts_of(rows, "normalized_name", F.col("source_id"), F.col("source_url"), F.coalesce("trust", F.lit(0.5)), F.col("author_id"), kinds)
+    return enrich.merged_facts(facts).select("author_id", "kind", "value", "source_id", "confidence")
+
+
+@query("""WITH f AS (SELECT normalized_name, max(bio) FILTER (author_id = first) AS bio FROM (SELECT *, min(author_id) FILTER (bio IS NOT NULL AND bio <> '') OVER (PARTITION BY normalized_name) AS first FROM normalized_author) GROUP BY 1)
+SELECT author_id, coalesce(nullif(a.bio, ''), f.bio) AS bio FROM normalized_author a JOIN f USING (normalized_name)""")
+def filled_biographies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "normalized_author").select("author_id", "normalized_name", "bio")
+    first = merge.fold_first(rows, "normalized_name", ["author_id"], ["bio"]).select(F.col("normalized_name").alias("author_id"), F.lit("bio").alias("kind"), F.col("bio").alias("value"))
+    return enrich.fill_gaps(rows, first.where("value is not null"), ["bio"], "normalized_name").select("author_id", "bio")
+
+
 # --- crawl replays ----------------------------------------------------------------------------------------------
 
 

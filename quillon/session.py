@@ -64,7 +64,7 @@ def stage(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for df if it is proven to have at most max_rows rows, else df as it is (a shuffle join)."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -352,3 +352,70 @@ def statistics(text: Column) -> Column:
     """struct of the reader statistics a page states: ratings, reviews, want_to_read, currently_reading, editions."""
     of = lambda p: F.replace(F.regexp_extract(F.lower(text), p, 1), F.lit(","), F.lit("")).try_cast("bigint")
     return F.struct(of(r"([\d,]+) ratings?").alias("ratings"), of(r"([\d,]+) reviews?").alias("reviews"), of(r"([\d,]+) (?:people )?want to read").alias("want_to_read"), of(r"([\d,]+) (?:people )?(?:are )?currently reading").alias("currently_reading"), of(r"([\d,]+) editions?").alias("editions"))
+
+
+def contacts_of_pages(pages: DataFrame, most: int = 5) -> DataFrame:
+    """(url, emails, socials): the addresses a page shows, those of mailto links first, and the first profile per
+    network. Which addresses belong to the page's owner is decided in columns, by `functions.text.keep_email`."""
+    from quillon.functions.text import EMAIL, keep_email
+    from quillon.functions.urls import social_profiles
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for url, html in zip(df["url"], df["html"]):
+                root = Tree(html or "").root
+                mails = [n.attrs["href"][7:].split("?")[0] for n in select(root, "a[href^=mailto:]")]
+                found = [m.strip().lower() for m in mails] + [m.lower() for m in re.findall(EMAIL, root.text())]
+                rows.append((url, list(dict.fromkeys(x for x in found if re.fullmatch(EMAIL, x))), html))
+            yield pd.DataFrame(rows, columns=["url", "found", "html"])
+
+    read = pages.select("url", "html").mapInPandas(parse, "url string, found array<string>, html string")
+    kept = F.slice(F.filter("found", lambda e: keep_email(e, F.col("url"))), 1, most)
+    return read.select("url", kept.alias("emails"), social_profiles(F.col("html")).alias("socials"))
+
+
+def labelled_fields(pages: DataFrame) -> DataFrame:
+    """(url, fields): what a page labels (dt/dd, th/td, 'Label: value' items), labels in lower case, the first wins."""
+
+    def pairs(root: Node) -> Iterator[tuple[str, str]]:
+        for n in root.walk():
+            own = [c for c in n.children if isinstance(c, Node)]
+            for a, b in zip(own, own[1:]):
+                if (a.tag, b.tag) in (("dt", "dd"), ("th", "td")):
+                    yield a.text(), b.text()
+            if n.tag in ("li", "p", "span", "div") and (m := re.fullmatch(r"([A-Za-z][A-Za-z \-]{1,30}):\s+(.{1,300})", n.text() if len(own) < 4 else "")):
+                yield m[1], m[2]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for url, html in zip(df["url"], df["html"]):
+                fields: dict[str, str] = {}
+                for label, value in pairs(Tree(html or "").root):
+                    if value:
+                        fields.setdefault(label.strip(" :").lower(), value)
+                rows.append((url, list(fields.items())))
+            yield pd.DataFrame(rows, columns=["url", "kv"])
+
+    read = pages.select("url", "html").mapInPandas(parse, "url string, kv array<struct<k:string,v:string>>")
+    return read.select("url", F.map_from_entries("kv").alias("fields"))
+
+
+def community_reviews(pages: DataFrame, most: int = 5, least: int = 60, longest: int = 3000, shown: int = 600) -> DataFrame:
+    """(url, reviews): the texts of a page's innermost review blocks, near copies (equal beginnings) once."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for url, html in zip(df["url"], df["html"]):
+                blocks = [n for n in Tree(html or "").root.walk() if "review" in (n.attrs.get("class", "") + " " + n.attrs.get("itemprop", "")).lower()]
+                inner = [n for n in blocks if not any(m is not n and m in blocks for m in n.walk())]
+                texts: dict[str, str] = {}
+                for t in (n.text() for n in inner):
+                    if least <= len(t) <= longest:
+                        texts.setdefault(t[:60], t[:shown])
+                rows.append((url, list(texts.values())[:most]))
+            yield pd.DataFrame(rows, columns=["url", "reviews"])
+
+    return pages.select("url", "html").mapInPandas(parse, "url string, reviews array<string>")
