@@ -419,3 +419,102 @@ def community_reviews(pages: DataFrame, most: int = 5, least: int = 60, longest:
             yield pd.DataFrame(rows, columns=["url", "reviews"])
 
     return pages.select("url", "html").mapInPandas(parse, "url string, reviews array<string>")
+
+
+_CARD = re.compile(r"(?:^|[\s_-])(?:book|card|item|product|result|title-?row|entry|listing)(?:$|[\s_-])", re.I)
+_FURNITURE = re.compile(r"nav|menu|footer|header|sidebar|breadcrumb|pagination|cookie|newsletter|social|share|comment|news|blog|event", re.I)
+_BY = re.compile(r"(?:^|\s)(?:by|written by|author:)\s+([^|\n]{3,80})$", re.I)
+
+
+def looks_like_a_person(text: str) -> bool:
+    """Two to six words without digits, most of them capitalised or particles, at least two capitalised."""
+    words = text.split()
+    if not 2 <= len(words) <= 6 or re.search(r"\d", text):
+        return False
+    capital = [w for w in words if w[:1].isupper()]
+    fitting = [w for w in words if w[:1].isupper() or w.lower() in ("van", "von", "de", "di", "da", "del", "der", "la", "le", "y", "of")]
+    return len(capital) >= 2 and len(fitting) / len(words) >= 0.6
+
+
+def _is_furniture(n: Node) -> bool:
+    while n is not None:
+        if n.tag in ("nav", "footer", "header", "aside") or _FURNITURE.search(n.attrs.get("class", "") + " " + n.attrs.get("id", "")):
+            return True
+        n = n.parent
+    return False
+
+
+def card_book(card: Node, url: str) -> tuple[dict | None, str]:
+    """The book a card shows, or why it shows none."""
+    heads = [n for n in card.walk() if n.tag in ("h1", "h2", "h3", "h4", "h5") or "title" in n.attrs.get("class", "").lower()]
+    links = [n for n in card.walk() if n.tag == "a" and n.attrs.get("href")]
+    title = next((t for t in (n.text() for n in heads + links) if 2 <= len(t) <= 300 and not re.fullmatch(r"(?i)(?:read )?more|buy.*|add to .*|view.*|details?", t)), None)
+    if not title:
+        return None, "no title"
+    authors: list[str] = []
+    if (m := re.fullmatch(r"(.{2,200}?)\s+[Bb]y\s+(.{3,80})", title)) and all(map(looks_like_a_person, byline(m[2]))):
+        title, authors = m[1], byline(m[2])
+    for n in card.walk():
+        own = n.text()
+        if "author" in n.attrs.get("class", "").lower() and own:
+            authors = authors or byline(own)
+        elif len(own) < 120 and (m := _BY.search(own)) and not authors:
+            authors = [a for a in byline(m[1]) if looks_like_a_person(a)]
+    text = card.text()
+    isbn13, isbn10 = split_by_length(re.findall(r"97[89][\d -]{10,14}\d", text))
+    price = re.search(r"[$€£]\s?\d+(?:[.,]\d{2})?", text)
+    if not (authors or isbn13 or price):
+        return None, "neither author nor ISBN nor price"
+    link = next((urljoin(url, n.attrs["href"]) for n in links if not n.attrs["href"].startswith(("#", "mailto:"))), None)
+    return {"title": title, "authors": authors, "isbn13": isbn13, "isbn10": isbn10, "price": price[0] if price else None, "url": link or url}, ""
+
+
+def cards_of_pages(pages: DataFrame, most: int = 200, explain: bool = False) -> DataFrame:
+    """Books of listing pages without any markup, from repeated blocks: innermost blocks whose class reads like a card,
+    outside the page's furniture. A title counts once per page, its first sighting with authors before one without.
+    With `explain`, a row per rejected card instead: (url, text, reason)."""
+    columns = ["page", "url", "title", "authors", "isbn13", "isbn10", "price"]
+    schema = "url string, text string, reason string" if explain else "page string, url string, title string, authors array<string>, isbn13 string, isbn10 string, price string"
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows: list = []
+            for url, html in zip(df["url"], df["html"]):
+                cards = [n for n in Tree(html or "").root.walk() if n.tag in ("div", "li", "article", "tr", "section") and _CARD.search(n.attrs.get("class", "")) and not _is_furniture(n)]
+                known = set(map(id, cards))
+                inner = [n for n in cards if not any(id(m) in known for m in n.walk() if m is not n)]
+                found: dict[str, dict] = {}
+                for card in inner:
+                    book, why = card_book(card, url or "")
+                    if explain:
+                        if book is None:
+                            rows.append((url, card.text()[:200], why))
+                    elif book and (book["title"].lower() not in found or book["authors"] and not found[book["title"].lower()]["authors"]):
+                        found[book["title"].lower()] = book
+                rows += [] if explain else [[url, *(b[c] for c in columns[1:])] for b in list(found.values())[:most]]
+            yield pd.DataFrame(rows, columns=["url", "text", "reason"] if explain else columns)
+
+    return pages.select("url", "html").mapInPandas(parse, schema)
+
+
+def author_pages(pages: DataFrame) -> DataFrame:
+    """(url, name, bio, fields, books): profiles of pages that are about one author: a heading that reads like a person
+    on a page whose address or wording says author, with the labelled details beside it."""
+    details = labelled_fields(pages)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for url, html in zip(df["url"], df["html"]):
+                root = Tree(html or "").root
+                name = next((t for t in (n.text() for n in select(root, "h1, h2")) if looks_like_a_person(t)), None)
+                text = root.text()
+                if not name or not (re.search(r"/(?:author|writer|people|profile)s?/", url or "", re.I) or re.search(r"(?i)about the author|books by|author of", text)):
+                    continue
+                bios = [n.text() for n in root.walk() if re.search(r"(?i)\b(?:bio|about)", n.attrs.get("class", "") + " " + n.attrs.get("id", ""))]
+                count = re.search(r"(?i)([\d,]+)\s+(?:distinct works|books|titles)", text)
+                rows.append((url, name, (bios[0] if bios else None) and bios[0][:4000], int(count[1].replace(",", "")) if count else None))
+            yield pd.DataFrame(rows, columns=["url", "name", "bio", "books"]).astype({"books": "Int64"})
+
+    found = pages.select("url", "html").mapInPandas(parse, "url string, name string, bio string, books bigint")
+    return found.join(details, "url", "left").select("url", "name", "bio", "fields", "books")

@@ -49,3 +49,25 @@ def test_page_details(spark):
     assert contacts["https://www.hale.example/a"]["emails"] == ["hello@hale.example", "ann@shop.example"]
     assert contacts["https://www.hale.example/a"]["socials"] == {"twitter": "https://x.com/hale_m"}
     assert {r["url"]: len(r["reviews"]) for r in html.community_reviews(pages).collect()} == {"https://www.hale.example/a": 1, "https://b.example": 0}
+
+
+LIST = """<nav class="menu"><li class="item">Home</li></nav><div class="book-card"><h3>Quiet Sea</h3><p>by Ann Raymond and Bo Lindqvist</p></div>
+<div class="book-card"><h3>Quiet Sea</h3></div><li class="item"><a href="/b/2">Iron Gate By Cy Orrmond</a> $9.99</li><div class="card"><a href="/n">Our summer news</a></div>
+<article class="result"><h2>Salt Row</h2> ISBN 978-0-306-40615-7</article>"""
+
+
+def test_cards(spark):
+    pages = spark.createDataFrame([("https://a.example/list", LIST), (None, None)], "url string, html string")
+    got = {r["title"]: r for r in html.cards_of_pages(pages).collect()}
+    assert set(got) == {"Quiet Sea", "Iron Gate", "Salt Row"}
+    assert got["Quiet Sea"]["authors"] == ["Ann Raymond", "Bo Lindqvist"] and got["Iron Gate"]["url"] == "https://a.example/b/2"
+    assert got["Salt Row"]["isbn13"] == "9780306406157" and got["Iron Gate"]["price"] == "$9.99"
+    reasons = {r["text"]: r["reason"] for r in html.cards_of_pages(pages, explain=True).collect()}
+    assert "Our summer news" in reasons and "Home" not in reasons
+
+
+def test_author_page(spark):
+    page = '<h1>Ann Raymond</h1><div class="bio">Born by the sea.</div><dl><dt>Born</dt><dd>1970</dd></dl><p>12 books</p>'
+    pages = spark.createDataFrame([("https://a.example/author/1", page), ("https://a.example/x", "<h1>Summer Sale</h1>")], "url string, html string")
+    rows = html.author_pages(pages).collect()
+    assert [(r["name"], r["bio"], r["fields"], r["books"]) for r in rows] == [("Ann Raymond", "Born by the sea.", {"born": "1970"}, 12)]
