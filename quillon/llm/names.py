@@ -14,8 +14,8 @@ PARTICLES = "van von de di der den da du la le del della dos ter ten zu zur vand
 GROUP_WORDS = """society guild company academy press collective association institute university council museum trust group club union league
 foundation committee library archive school college office project centre center bureau editors writers poets network ensemble studio department research""".split()
 #: Usual abbreviations in names of organisations, and words that do not tell them apart.
-GROUP_SHORT = {"soc": "society", "co": "company", "fdn": "foundation", "found": "foundation", "acad": "academy", "assoc": "association", "assn": "association", "inst": "institute", "dept": "department", "dep": "department", "hist": "historical", "univ": "university", "lib": "library", "coll": "college", "comm": "committee", "res": "research"}
-GROUP_EMPTY = "the of and for a inc ltd llc limited gmbh corp plc de la".split()
+GROUP_SHORT = {"soc": "society", "co": "company", "fdn": "foundation", "found": "foundation", "acad": "academy", "assoc": "association", "assn": "association", "inst": "institute", "dept": "department", "dep": "department", "hist": "historical", "univ": "university", "lib": "library", "coll": "college", "comm": "committee", "res": "research", "gld": "guild"}
+GROUP_EMPTY = "the of and for members a inc ltd llc limited gmbh corp plc de la".split()
 #: Short forms in common use; more are learned from names that quote one: Kenneth "Kenny" Hale.
 NICKNAMES = {
     "alex": "alexander", "andy": "andrew", "becky": "rebecca", "beth": "elizabeth", "betsy": "elizabeth", "liz": "elizabeth", "eliza": "elizabeth", "bill": "william", "will": "william", "bob": "robert", "rob": "robert", "bobby": "robert",
