@@ -192,6 +192,13 @@ def empty_contents(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("reports"), F.count_distinct(normalize.content_hash(rows)).alias("contents"))
 
 
+@query("SELECT count(*) AS reports, count(DISTINCT r) AS contents FROM (SELECT * EXCLUDE (raw, raw_id, fetched_at) FROM raw_book) r")
+def report_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """All reports and their different contents."""
+    rows = table(spark, sf, "raw_book")
+    return rows.agg(F.count("*").alias("reports"), F.count_distinct(normalize.content_hash(rows)).alias("contents"))
+
+
 # --- folds ------------------------------------------------------------------------------------------------------
 
 
