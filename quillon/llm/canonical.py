@@ -210,7 +210,7 @@ class Dictionary:
 
     def resolve(self, text: str | None) -> int:
         """The id of the entry meant, -1 if none."""
-        if not text or len(text) > 400:
+        if not text:
             return -1
         letters = compact(fold(text))
         if letters in self.short and len(text.split()) == 1:

@@ -77,3 +77,9 @@ def test_mapped(spark):
     assert mapped(values.limit(0), "f", "v", entries).collect() == []
     with pytest.raises(ValueError):
         mapped(values, "f", "v", entries, max_entries=2)
+
+
+def test_long_values_are_judged_after_cleaning():
+    path = "Shelf of Things > " * 40
+    assert len(path) > 400 and KINDS.resolve(path + "Cooking") == KINDS.resolve("Shelf > Cooking")
+    assert BOOKS.resolve("Marlow " * 80 + ": Quiet Hill House") == BOOKS.resolve("Marlow : Quiet Hill House") == 1
