@@ -13,6 +13,8 @@ from quillon.functions.text import normalize_person
 
 #: Kinds of which an author has several values; of all others the first one counts.
 MANY = ("email",)
+#: Kinds whose values are texts and stay whole.
+WHOLE = ("bio",)
 FACTS = "author_id, kind, value, source_id, source_url, confidence, place"
 
 
@@ -31,8 +33,9 @@ def social_facts(rows: DataFrame, author_id: str, socials: str, source_id: Colum
 
 def merged_facts(facts: DataFrame, floor: float = 0.55, value_cap: int = 500) -> DataFrame:
     """One row per author and kind (per value for kinds in MANY): the most confident source first, then the earlier one
-    in the chain. Authors whose best source stays below the floor drop out. Values are cut before they are compared."""
-    cut = facts.withColumn("value", F.substring("value", 1, value_cap)).withColumn("value", F.when(F.col("kind").isin(*MANY), F.lower("value")).otherwise(F.col("value")))
+    in the chain. Authors whose best source stays below the floor drop out. Values are cut before they are compared,
+    except for kinds in WHOLE."""
+    cut = facts.withColumn("value", F.when(F.col("kind").isin(*WHOLE), F.col("value")).otherwise(F.substring("value", 1, value_cap))).withColumn("value", F.when(F.col("kind").isin(*MANY), F.lower("value")).otherwise(F.col("value")))
     slot = F.when(F.col("kind").isin(*MANY), F.col("value")).otherwise(F.lit(""))
     rest = F.struct("value", "source_id", "source_url", "confidence", "place")
     best = cut.withColumn("_slot", slot).groupBy("author_id", "kind", "_slot").agg(F.min_by(rest, F.struct(-F.coalesce("confidence", F.lit(0.0)), "place", "value")).alias("r"))

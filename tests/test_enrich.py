@@ -71,3 +71,9 @@ def test_author_page(spark):
     pages = spark.createDataFrame([("https://a.example/author/1", page), ("https://a.example/x", "<h1>Summer Sale</h1>")], "url string, html string")
     rows = html.author_pages(pages).collect()
     assert [(r["name"], r["bio"], r["fields"], r["books"]) for r in rows] == [("Ann Raymond", "Born by the sea.", {"born": "1970"}, 12)]
+
+
+def test_biographies_stay_whole(spark):
+    rows = [(1, "bio", "b" * 1200, "a", None, 0.9, 1), (1, "website", "w" * 1200, "a", None, 0.9, 1), (1, "email", "e" * 1200, "a", None, 0.9, 1)]
+    got = {r["kind"]: len(r["value"]) for r in enrich.merged_facts(spark.createDataFrame(rows, FACTS)).collect()}
+    assert got == {"bio": 1200, "website": 500, "email": 500}
