@@ -1,6 +1,6 @@
 """Freely typed values mapped to the entries of a reference list, with the values that mean none of them reported.
 
-The list is a dictionary of spellings (labels, rotations, forms without the designator, known abbreviations, a thesaurus) indexed by
+The list is a dictionary of spellings (labels, rotations, forms without the designator, known abbreviations, learned names) indexed by
 symmetric deletes: every string reachable from a spelling by at most `bound` deletions. A typed value is cleaned,
 its own deletes are looked up, and the spellings they lead to, which include every one within the bound, are ranked by
 a weighted Damerau-Levenshtein distance (neighbouring keys, doubled letters and swaps cost less) and then by how often
@@ -10,6 +10,9 @@ are never shuffled, each batch resolves its distinct values once.
 A value without a designator ("Falcon Archway") means the entry of that stem unless the data write the stem more often
 with another designator, which then is another organisation.
 
+Names that share no letters with an entry ("whodunits" for a kind of mystery) do not follow from edit distance. They are
+learned from rows that describe one thing, see `learned_names`, and looked up like the spellings of the list.
+
 Defined cases: null, empty and blank values, stand-ins and everything beyond the bound give -1;
 equal distances go to the more frequent entry, then to the smaller id; a value much longer than any spelling is -1;
 an empty list maps all to -1.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import fresh, stage
+
 #: Words that say what kind of house a publisher is, and their usual abbreviations.
 DESIGNATORS = {
     "press": ["pr"], "university press": ["univ pr", "univ press", "university pr", "up"], "publishing": ["publ", "pubg"], "publishers": ["pubs", "publs"], "house": ["hse"], "books": ["bks"],
@@ -172,6 +178,12 @@ class Dictionary:
                 self.blocked.add(stem)
         self._index()
 
+    def add(self, form: str, ref: int) -> None:
+        """Another name of an entry; names that mean one already stay as they are."""
+        if form not in self.exact:
+            self.exact[form] = {ref}
+            self._index()
+
     def watched(self) -> list[str]:
         """The compact values whose counts weigh() looks at; their number is a multiple of the list's size."""
         return sorted({*self.exact, *(s + compact(d) for s in self.stems for d in DESIGNATORS), *(compact(d) + s for s in self.stems for d in DESIGNATORS)})
@@ -236,9 +248,7 @@ def compact_column(x: Column) -> Column:
     return F.regexp_replace(t, "[^a-z0-9]+", "")
 
 
-def mapped(values: DataFrame, field_col: str, value_col: str, entries: DataFrame, thesaurus: dict[str, dict[str, list[str]]] | None = None, designated: tuple[str, ...] = ("publisher",), most: int = 2, max_entries: int = 2_000, out: str = "ref_id") -> DataFrame:
-    """values with `out`. entries has (ref_id, field_name, label, short_form) and at most max_entries rows, which is
-    checked: that bounds what the tasks receive."""
+def _dictionaries(values: DataFrame, field_col: str, value_col: str, entries: DataFrame, thesaurus: dict | None, designated: tuple[str, ...], most: int, max_entries: int) -> dict[str, Dictionary]:
     rows = entries.select("ref_id", "field_name", "label", "short_form").where("label is not null").limit(max_entries + 1).collect()
     if len(rows) > max_entries:
         raise ValueError(f"the reference list has more than {max_entries} entries")
@@ -246,10 +256,9 @@ def mapped(values: DataFrame, field_col: str, value_col: str, entries: DataFrame
     for name in sorted({r["field_name"] for r in rows}):
         own = [(r["ref_id"], r["label"], r["short_form"]) for r in sorted(rows, key=lambda r: r["ref_id"]) if r["field_name"] == name]
         dictionaries[name] = Dictionary(own, (thesaurus or {}).get(name), most, name in designated)
-    spark = values.sparkSession
     watched = [(name, w) for name, d in dictionaries.items() for w in d.watched()]
     if watched:
-        frame = spark.createDataFrame(pd.DataFrame(watched, columns=["wf", "w"]), "wf string, w string")
+        frame = values.sparkSession.createDataFrame(pd.DataFrame(watched, columns=["wf", "w"]), "wf string, w string")
         typed = values.where(F.col(value_col).isNotNull()).select(F.col(field_col).alias("f"), compact_column(F.col(value_col)).alias("c"))
         counted = typed.join(F.broadcast(frame), (F.col("f") == F.col("wf")) & (F.col("c") == F.col("w"))).groupBy("f", "c").count()
         counts: dict[str, dict[str, int]] = defaultdict(dict)
@@ -257,11 +266,17 @@ def mapped(values: DataFrame, field_col: str, value_col: str, entries: DataFrame
             counts[r["f"]][r["c"]] = r["count"]
         for name, d in dictionaries.items():
             d.weigh(counts[name])
+    return dictionaries
+
+
+def _resolver(spark, dictionaries: dict[str, Dictionary]):
+    """A column function (field, text) -> ref_id; each worker resolves a distinct value once."""
     shared = spark.sparkContext.broadcast(dictionaries)
+    token = uuid.uuid4().hex
 
     @F.pandas_udf("long")
     def resolve(fields: pd.Series, texts: pd.Series) -> pd.Series:
-        kept = _kept(shared)
+        kept = _kept(token)
         pairs = pd.Series(list(zip(fields, texts)))
         known = {}
         for p in pairs.unique():
@@ -273,12 +288,67 @@ def mapped(values: DataFrame, field_col: str, value_col: str, entries: DataFrame
             kept.clear()
         return pairs.map(known).astype("int64") if len(pairs) else pd.Series([], dtype="int64")
 
-    return values.withColumn(out, resolve(F.col(field_col), F.col(value_col)))
-
-
-_WORKER: dict[int, dict] = {}
-
-
-def _kept(shared) -> dict:
-    """What this Python worker has resolved so far for one broadcast dictionary."""
-    return _WORKER.setdefault(id(shared), {})
+    return resolve
+
+
+@F.pandas_udf("string")
+def plain_form(texts: pd.Series) -> pd.Series:
+    """The last plain reading of a typed value without its decorations, compact; null if nothing is left."""
+    reader = Dictionary([])
+    known = {t: (list(reader.forms(t)) or [None])[-1] if t else None for t in texts.unique()}
+    return texts.map(known)
+
+
+def learned_names(resolved: DataFrame, field: str, row: str, key: str, ref: str, form: str, fields: tuple[str, ...], support: int = 3, exclusive: float = 0.6, rarest: float = 1 / 20_000) -> DataFrame:
+    """(field, form, ref, rows, share): other names of entries, learned from rows that describe one thing (equal `key`).
+
+    A value that means no entry so far, in a row whose partners have entries that the row itself lacks, votes for each
+    of those. A form stands for the entry that gets most of its votes if that has at least `support` rows, and at least
+    the share `exclusive` of the form's rows that could vote. Forms with less than the share `rarest` of all votes are
+    left out, so there are at most 1 / rarest names, whatever the size of the data."""
+    rows = resolved.where(F.col(field).isin(list(fields)) & F.col(key).isNotNull()).select(F.col(field).alias("f"), F.col(row).alias("r"), F.col(key).alias("k"), F.col(ref).alias("e"), F.col(form).alias("w"))
+    known = rows.where("e >= 0")
+    group = known.groupBy("f", "k").agg(F.collect_set("e").alias("theirs"))  # at most the reference list
+    own = known.groupBy(F.col("f").alias("f2"), F.col("r").alias("r2")).agg(F.collect_set("e").alias("mine"))
+    open_ = rows.where("e < 0 and w is not null").select("f", "r", "k", "w").distinct()
+    votes = open_.join(group, ["f", "k"]).join(own, (F.col("f") == F.col("f2")) & (F.col("r") == F.col("r2")), "left")
+    votes = votes.select("f", "w", F.array_except("theirs", F.coalesce("mine", F.array().cast("array<bigint>"))).alias("lacking")).where("size(lacking) > 0")
+    votes = stage(votes)
+    least = F.greatest(F.lit(support), F.ceil(F.lit(votes.count() * rarest)))
+    counted = votes.groupBy("f", "w", F.explode("lacking").alias("e")).agg(F.count("*").alias("n"))
+    best = counted.groupBy("f", "w").agg(F.max(F.struct("n", -F.col("e"))).alias("b"))
+    total = votes.groupBy(F.col("f").alias("f3"), F.col("w").alias("w3")).agg(F.count("*").alias("total"))
+    joined = best.join(total, (F.col("f") == F.col("f3")) & (F.col("w") == F.col("w3")))
+    out = joined.select(F.col("f").alias("field"), F.col("w").alias("form"), (-F.col("b.col2")).alias("ref"), F.col("b.n").alias("rows"), (F.col("b.n") / F.col("total")).alias("share"))
+    return out.where((F.col("rows") >= least) & (F.col("share") >= exclusive))
+
+
+def mapped(values: DataFrame, field_col: str, value_col: str, entries: DataFrame, thesaurus: dict[str, dict[str, list[str]]] | None = None, designated: tuple[str, ...] = ("publisher",), most: int = 2, max_entries: int = 2_000, out: str = "ref_id", learn: tuple[str, str] | None = None, learned_fields: tuple[str, ...] = ("category",)) -> DataFrame:
+    """values with `out`. entries has (ref_id, field_name, label, short_form) and at most max_entries rows, which is
+    checked: that bounds what the tasks receive. learn names the columns of a row's id and of a key that rows about one
+    thing share; other names of the entries of learned_fields are then learned from the data."""
+    spark = values.sparkSession
+    dictionaries = _dictionaries(values, field_col, value_col, entries, thesaurus, designated, most, max_entries)
+    field, value = F.col(field_col), F.col(value_col)
+    if learn is None:
+        return values.withColumn(out, _resolver(spark, dictionaries)(field, value))
+    first, form = fresh(values, "_first"), fresh(values, "_form")
+    resolved = values.withColumn(first, _resolver(spark, dictionaries)(field, value))
+    resolved = stage(resolved.withColumn(form, F.when((F.col(first) < 0) & field.isin(list(learned_fields)), plain_form(value))))
+    for r in learned_names(resolved, field_col, *learn, first, form, learned_fields).collect():  # bounded by rarest
+        if r["field"] in dictionaries:
+            dictionaries[r["field"]].add(r["form"], r["ref"])
+    again = F.when(F.col(first) >= 0, F.col(first)).otherwise(_resolver(spark, dictionaries)(field, F.when(F.col(first) < 0, value)))
+    return resolved.withColumn(out, again).drop(first, form)
+
+
+_WORKER: dict[str, dict] = {}
+
+
+def _kept(token: str) -> dict:
+    """What this Python worker has resolved so far with one set of dictionaries; those used last stay."""
+    kept = _WORKER.pop(token, {})
+    _WORKER[token] = kept
+    while len(_WORKER) > 4:
+        _WORKER.pop(next(iter(_WORKER)))
+    return kept

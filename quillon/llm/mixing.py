@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quillon.session import cut, small, stage
 
 BLOCKS = 1024
+RUN = 32  # cuts are looked up in runs of this many
 
 
 def sampling_key(id_col: Column, weight: Column, seed: int = 17) -> Column:
@@ -39,19 +40,23 @@ def text_quality(text: Column) -> Column:
     return F.greatest(F.lit(0.01), letters * letters * (n / (n + F.lit(200.0))))
 
 
-def running_sizes(items: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def running_sizes(items: DataFrame, blocks: int = BLOCKS, max_sources: int = 100_000) -> DataFrame:
     """items (source, id, size, key) with `upto`: the size of the source's rows up to and including this one in order
     of key, then id. A source's rows are cut into blocks at quantiles of its keys."""
     cuts = cut(items.groupBy("source").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 4 * blocks).alias("cuts"), F.sum("size").alias("source_size")))
-    low, n = F.col("key"), F.size("cuts")
-    placed = items.join(cuts, items["source"].eqNullSafe(cuts["source"])).drop(cuts["source"])
-    # the number of cuts below the key: those are sorted, so a binary search of fixed depth would do; a filter is exact
-    placed = placed.withColumn("block", F.size(F.filter("cuts", lambda x: x < low))).drop("cuts")
+    cuts = cuts.select(F.col("source").alias("cs"), "source_size", "cuts", F.filter("cuts", lambda _, i: i % RUN == RUN - 1).alias("heads"))
+    placed = items.join(small(cuts, max_sources), items["source"].eqNullSafe(F.col("cs")))
+    # the number of cuts below the key: whole runs by their last cuts, then within one run
+    placed = placed.withColumn("run", F.size(F.filter("heads", lambda x: x < F.col("key"))))
+    inside = F.filter(F.slice("cuts", F.col("run") * RUN + 1, F.lit(RUN)), lambda x: x < F.col("key"))
+    placed = placed.select("source", "id", "size", "key", "source_size", (F.col("run") * RUN + F.size(inside)).alias("block"))
+    # a stated number of partitions is not coalesced: the rows are small in bytes, but not in work
+    placed = placed.repartition(max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "source", "block")
     sums = placed.groupBy("source", "block").agg(F.sum("size").alias("in_block"))
     over = Window.partitionBy("source").orderBy("block")  # at most `blocks` rows a source
     below = sums.select(F.col("source").alias("s2"), F.col("block").alias("b2"), (F.sum("in_block").over(over) - F.col("in_block")).alias("below"))
-    inside = Window.partitionBy("source", "block").orderBy("key", "id")
-    run = placed.withColumn("in", F.sum("size").over(inside))
+    within = Window.partitionBy("source", "block").orderBy("key", "id")
+    run = placed.withColumn("in", F.sum("size").over(within))
     joined = run.join(below, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     return joined.select("source", "id", "size", "source_size", (F.col("below") + F.col("in")).alias("upto"))
 
@@ -82,10 +87,10 @@ def mixed(items: DataFrame, targets: DataFrame, seed: int = 17, max_targets: int
     drawn = open_ & (F.col("upto") <= F.col("rest"))
     # what the draw leaves open is closed by the one further document whose size is nearest to it, if that helps
     gaps = joined.groupBy("mix_id", "source").agg((F.max("rest") - F.coalesce(F.max(F.when(drawn, F.col("upto"))), F.lit(0))).alias("gap"))
-    gaps = gaps.select(F.col("mix_id").alias("gm"), F.col("source").alias("gs"), "gap")
+    gaps = cut(gaps.select(F.col("mix_id").alias("gm"), F.col("source").alias("gs"), "gap"))  # at most a row per target
     after = joined.where(open_ & ~drawn).join(small(gaps, max_targets), (F.col("mix_id") == F.col("gm")) & (F.col("source") == F.col("gs")))
     after = after.where("size < 2 * gap").groupBy("gm", "gs").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "upto", "id")).alias("best"))
-    last = small(after.select("gm", "gs", F.col("best.id").alias("gid")), max_targets)
+    last = small(cut(after.select("gm", "gs", F.col("best.id").alias("gid"))), max_targets)
     closed = joined.join(last, (F.col("mix_id") == F.col("gm")) & (F.col("source") == F.col("gs")) & (F.col("id") == F.col("gid")), "left")
     selection = closed.withColumn("repeats", F.col("epochs") + (drawn | F.col("gid").isNotNull()).cast("int")).where("repeats > 0").select("mix_id", "source", "id", "size", "repeats")
     taken = selection.groupBy("mix_id", "source").agg(F.sum(F.col("size") * F.col("repeats")).alias("selected"), F.count("*").alias("documents"))

@@ -60,19 +60,16 @@ class SumOfSquares:
         return box
 
 
-def _packed(stream: str, unit: str, size: str, capacity: str, schema: str):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Batches come sorted by stream; a packer lives as long as its stream."""
-        at, packer = None, None
-        for df in batches:
-            boxes = np.empty(len(df), dtype=np.int64)
-            for i, (s, n, c) in enumerate(zip(df[stream].to_numpy(), df[size].to_numpy(), df[capacity].to_numpy())):
-                if s != at:
-                    at, packer = s, SumOfSquares(int(c))
-                boxes[i] = packer.place(int(n))
-            yield df.assign(box=boxes)
-
-    return pack
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches come sorted by spec and stream; a packer lives as long as its stream of one spec."""
+    at, packer = None, None
+    for df in batches:
+        boxes = np.empty(len(df), dtype=np.int64)
+        for i, (spec, s, n, c) in enumerate(zip(df["spec_id"].to_numpy(), df["stream"].to_numpy(), df["size"].to_numpy(), df["capacity"].to_numpy())):
+            if (spec, s) != at:
+                at, packer = (spec, s), SumOfSquares(int(c))
+            boxes[i] = packer.place(int(n))
+        yield df.assign(box=boxes)
 
 
 def packed(items: DataFrame, specs: DataFrame, id_col: str, size_col: str, stream_items: int = 50_000, rounds: int = 2, max_specs: int = 1000) -> DataFrame:
@@ -97,7 +94,7 @@ def packed(items: DataFrame, specs: DataFrame, id_col: str, size_col: str, strea
     n_items = base.count()
     streams = max(1, round(n_items / stream_items))
     # a stream is packed by one task, its items in a fixed pseudo-random order
-    first = rest.withColumn("stream", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(streams)) * 1000 + F.col("spec_id") % 1000)
+    first = rest.withColumn("stream", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(streams)))
     placed = stage(_round(first.withColumn("o", F.xxhash64(F.col("id").cast("string"), F.lit(7))), f"id {kind}, spec_id int, capacity long, piece int, start long, size long, stream long", streams * len(listed)))
     name = F.concat_ws("-", F.lit("s0"), "stream", "box")
     current = placed.select("spec_id", "capacity", "id", "piece", "start", "size", name.alias("container"))
@@ -108,7 +105,7 @@ def packed(items: DataFrame, specs: DataFrame, id_col: str, size_col: str, strea
             break
         streams = max(1, streams // 16)
         part = boxes.where("fill < capacity")
-        part = part.withColumn("stream", F.pmod(F.xxhash64("container"), F.lit(streams)) * 1000 + F.col("spec_id") % 1000)
+        part = part.withColumn("stream", F.pmod(F.xxhash64("container"), F.lit(streams)))
         again = stage(_round(part.withColumn("size", F.col("fill")).withColumn("o", F.xxhash64("container", F.lit(k))), "container string, spec_id int, capacity long, size long, stream long", streams * len(listed)))
         renamed = again.select(F.col("spec_id").alias("sp"), F.col("container").alias("old"), F.concat_ws("-", F.lit(f"s{k}"), "stream", "box").alias("new"))
         moved.append(renamed)
@@ -123,8 +120,8 @@ def packed(items: DataFrame, specs: DataFrame, id_col: str, size_col: str, strea
 
 def _round(df: DataFrame, schema: str, streams: int) -> DataFrame:
     columns = [x.split()[0] for x in schema.split(", ")]
-    ordered = df.repartition(min(max(streams, 1), 4096), "stream").sortWithinPartitions("stream", "o").select(*columns)
-    return ordered.mapInPandas(_packed("stream", columns[0], "size", "capacity", schema), schema + ", box long")
+    ordered = df.repartition(min(max(streams, 1), 4096), "spec_id", "stream").sortWithinPartitions("spec_id", "stream", "o").select(*columns)
+    return ordered.mapInPandas(_pack, schema + ", box long")
 
 
 def fill_report(result: DataFrame) -> DataFrame:

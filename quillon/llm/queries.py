@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.canonical import mapped
 from quillon.llm.matching import matched_books, matched_pairs
 from quillon.llm.mixing import mixed, text_quality
 from quillon.llm.packing import fill_report, packed
-from quillon.llm.ranking import combined_ranking, top_of_group
+from quillon.llm.ranking import combined_ranking, loadings, top_of_group
 from quillon.llm.reading_level import reading_levels
 from quillon.llm.sql import SQL as SQL
 from quillon.llm.survivor import real_date, real_pages, real_text, survivors
@@ -19,11 +19,17 @@ from quillon.llm.variants import identities, same_name_pairs
 from quillon.session import small, table
 
 
-def _lead_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+LEAD_SCORES = {"score": 1, "b_ratings": 1, "b_average": 1}
+
+
+def _lead_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = table(spark, sf_dir, "lead_row").select("export_id", "lead_id", "raw_id", "score")
     books = table(spark, sf_dir, "raw_book").select("raw_id", F.col("ratings_count").alias("b_ratings"), F.col("average_rating").alias("b_average"))
-    rows = leads.join(books, "raw_id", "left")
-    return combined_ranking(rows, "lead_id", "export_id", {"score": 1, "b_ratings": 1, "b_average": 1})
+    return leads.join(books, "raw_id", "left")
+
+
+def _lead_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combined_ranking(_lead_scores(spark, sf_dir), "lead_id", "export_id", LEAD_SCORES)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,15 +37,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lead of every export with its projection; the order of an export is by projection, then lead_id."""
+    """Every lead of every export with its projections on the balanced and the plain component; the order of an export
+    is by the balanced one, then lead_id."""
     return _lead_ranking(spark, sf_dir)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = table(spark, sf_dir, "normalized_book").select("norm_id", "dedupe_key", "publisher", "page_count", "published_on", "source_id", "seen_at")
+def p1_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each score weighs in the plain and in the balanced component, and how much of the variance they explain."""
+    return loadings(_lead_scores(spark, sf_dir), "lead_id", "export_id", LEAD_SCORES)
+
+
+def _survivors(spark: SparkSession, sf_dir: str, seen: Column) -> DataFrame:
+    books = table(spark, sf_dir, "normalized_book").select("norm_id", "dedupe_key", "publisher", "page_count", "published_on", "source_id", seen.alias("seen"))
     trust = table(spark, sf_dir, "source_meta").select(F.col("id").alias("source"), "trust")
     fields = {"publisher": real_text(F.col("publisher")), "page_count": real_pages(F.col("page_count")), "published_on": real_date(F.col("published_on"))}
-    return survivors(books, "dedupe_key", "norm_id", "source_id", "seen_at", trust, fields)
+    return survivors(books, "dedupe_key", "norm_id", "source_id", "seen", trust, fields)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir, F.col("seen_at"))
+
+
+def p2_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the currency order stands in for times: the times of the first six minutes of every hour, a tenth, are
+    hidden. (field_name, cases, kept): the values that must survive, and those that do nevertheless."""
+    values = table(spark, sf_dir, "normalized_book").select(F.col("norm_id").alias("i"), F.struct(*[F.col(c).cast("string").alias(c) for c in ("publisher", "page_count", "published_on")]).alias("v"))
+    value = F.when(F.col("field_name") == "publisher", F.col("v.publisher")).when(F.col("field_name") == "page_count", F.col("v.page_count")).otherwise(F.col("v.published_on"))
+    read = lambda found, out: found.join(values, F.col("norm_id") == F.col("i")).select("dedupe_key", "field_name", value.alias(out))
+    true = read(_survivors(spark, sf_dir, F.col("seen_at")), "true_value")
+    blind = read(_survivors(spark, sf_dir, F.when(F.minute("seen_at") >= 6, F.col("seen_at"))), "found_value")
+    return true.join(blind, ["dedupe_key", "field_name"]).groupBy("field_name").agg(F.count("*").alias("cases"), F.sum((F.col("true_value") == F.col("found_value")).cast("long")).alias("kept"))
 
 
 def _sized(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -104,20 +131,25 @@ def p5_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identities(names, "name")
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_id, field_name, item_pos, value, book): the typed publishers and categories; book is the ISBN of the row."""
+    books = table(spark, sf_dir, "raw_book").select("raw_id", "publisher", "categories", F.regexp_replace("isbn13", "[^0-9]", "").alias("book"))
+    books = books.withColumn("book", F.when(F.length("book") == 13, F.col("book")))
+    publishers = books.where("publisher is not null").select("raw_id", F.lit("publisher").alias("field_name"), F.lit(0).alias("item_pos"), F.col("publisher").alias("value"), "book")
+    return publishers.unionByName(books.select("raw_id", F.lit("category").alias("field_name"), F.posexplode("categories").alias("item_pos", "value"), "book"))
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped(_typed(spark, sf_dir), "field_name", "value", table(spark, sf_dir, "canon_value"), {"category": CATEGORIES}, learn=("raw_id", "book"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = table(spark, sf_dir, "raw_book")
-    publishers = books.where("publisher is not null").select("raw_id", F.lit("publisher").alias("field_name"), F.lit(0).alias("item_pos"), F.col("publisher").alias("value"))
-    categories = books.select("raw_id", F.lit("category").alias("field_name"), F.posexplode("categories").alias("item_pos", "value"))
-    found = mapped(publishers.unionByName(categories), "field_name", "value", table(spark, sf_dir, "canon_value"), {"category": CATEGORIES})
-    return found.select("raw_id", "field_name", "item_pos", "ref_id")
+    return _mapped(spark, sf_dir).select("raw_id", "field_name", "item_pos", "ref_id")
 
 
 def p7_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed values that mean no entry, with how often they occur."""
-    books = table(spark, sf_dir, "raw_book")
-    values = books.select(F.lit("publisher").alias("field_name"), F.col("publisher").alias("value")).unionByName(books.select(F.lit("category").alias("field_name"), F.explode("categories").alias("value")))
-    distinct = values.where("value is not null").groupBy("field_name", "value").agg(F.count("*").alias("rows"))
-    return mapped(distinct, "field_name", "value", table(spark, sf_dir, "canon_value"), {"category": CATEGORIES}).where("ref_id = -1").select("field_name", "value", "rows")
+    return _mapped(spark, sf_dir).where("ref_id = -1 and value is not null").groupBy("field_name", "value").agg(F.count("*").alias("rows"))
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,4 +167,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p1_loadings": p1_loadings, "p2_found": p2_found, "p2_currency": p2_currency, "p10_found": p10_found, "p10_profile": p10_profile}

@@ -19,12 +19,29 @@ z AS (
     coalesce((r1 - avg(r1) OVER e) / nullif(stddev_pop(r1) OVER e, 0), 0) AS z1,
     coalesce((r2 - avg(r2) OVER e) / nullif(stddev_pop(r2) OVER e, 0), 0) AS z2
   FROM r WINDOW e AS (PARTITION BY export_id)),
-p AS (SELECT export_id, lead_id, round((z0 + z1 + z2) / sqrt(3), 9) AS projection FROM z)
+p AS (SELECT export_id, lead_id, round((z0 + z1 + z2) / sqrt(3), 9) AS projection, z0, z1, z2 FROM z)
+"""
+
+#: The plain component by power iteration on DuckDB's own correlations.
+_COMPONENT = _RANKS.replace("WITH lead", "WITH RECURSIVE lead") + """
+, m AS (SELECT corr(z0, z1) AS c01, corr(z0, z2) AS c02, corr(z1, z2) AS c12 FROM z),
+power AS (
+  SELECT 0 AS i, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS c
+  UNION ALL
+  SELECT i + 1, x / n, y / n, w / n FROM (
+    SELECT i, x, y, w, sqrt(x * x + y * y + w * w) AS n FROM (
+      SELECT i, a + c01 * b + c02 * c AS x, c01 * a + b + c12 * c AS y, c02 * a + c12 * b + c AS w FROM power, m WHERE i < 2000))),
+vec AS (SELECT a, b, c, (a * a + b * b + c * c + 2 * (c01 * a * b + c02 * a * c + c12 * b * c)) / 3 AS explained,
+  (3 + 2 * (c01 + c02 + c12)) / 9 AS even FROM power, m WHERE i = 2000)
 """
 
 SQL = {
     "p1_found": _RANKS + "SELECT export_id, lead_id FROM p QUALIFY row_number() OVER (PARTITION BY export_id ORDER BY projection DESC, lead_id) <= 5",
-    "p1_ranking": _RANKS + "SELECT export_id, lead_id, projection FROM p",
+    "p1_ranking": _COMPONENT + "SELECT export_id, lead_id, projection, round(a * z0 + b * z1 + c * z2, 6) AS component FROM p, vec",
+    "p1_loadings": _COMPONENT
+    + """
+SELECT score, round(loading, 6) AS loading, round(explained, 6) AS explained, round(1 / sqrt(3), 6) AS balanced_loading, round(even, 6) AS balanced_explained
+FROM (SELECT 'score' AS score, a AS loading, explained, even FROM vec UNION ALL SELECT 'b_ratings', b, explained, even FROM vec UNION ALL SELECT 'b_average', c, explained, even FROM vec)""",
     "p2_found": """
 WITH n AS (
   SELECT b.*, m.trust, count(*) OVER (PARTITION BY dedupe_key) AS rows_of_key,

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.names import NICKNAMES, read, within_one
+from quillon.operators.graph import components
 from quillon.session import stage
 
 
@@ -67,7 +68,7 @@ def _tasks(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def trie_join(words: DataFrame, col: str, min_length: int = 5) -> DataFrame:
+def trie_join(words: DataFrame, col: str, min_length: int = 2) -> DataFrame:
     """(a, b): the pairs of distinct words, a < b, one edit apart; words shorter than min_length have none."""
     n = F.length("w")
     halves = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")))
@@ -125,35 +126,48 @@ def parsed_names(rows: DataFrame, name_col: str) -> DataFrame:
     b = places.select(F.col("t").alias("tb"), F.col("f").alias("fb"), F.col("l").alias("lb"))
     judged = unsure.join(a, full == F.col("ta"), "left").join(b, F.col("surname") == F.col("tb"), "left")
     turned = (F.coalesce("fb", F.lit(0)) + 0.5) * (F.coalesce("la", F.lit(0)) + 0.5) > (F.coalesce("fa", F.lit(0)) + 0.5) * (F.coalesce("lb", F.lit(0)) + 0.5)
-    rotated = F.concat(F.slice("given", 2, 10), F.array("surname"))
+    rotated = F.concat(F.slice("given", F.lit(2), F.greatest(F.size("given"), F.lit(1))), F.array("surname"))
     judged = judged.select("name", "n", F.when(turned, full).otherwise(F.col("surname")).alias("surname"), F.when(turned, rotated).otherwise(F.col("given")).alias("given"), "nick", "grp", "sure")
     rest = names.where("grp or sure or size(given) = 0 or length(given[0]) <= 2")
     return stage(rest.unionByName(judged))
 
 
-def _profiles(common: dict[str, int], nicks: dict[str, set[str]]):
+def _profiles():
     """The names of one surname, each put to the profile (a given name) it fits."""
 
     def resolve(members: list[tuple]) -> list[str]:
-        """members: (given, nick, n) of the distinct names of one surname; their profiles."""
+        """members: (given, nick, n, common, formal, quoted) of the distinct names of one surname: its given names, short
+        form and rows, the rows of its first given name under any surname, the full forms of that name and of the short
+        form. Their profiles."""
         full: Counter = Counter()
+        common: dict[str, int] = {}
+        nicks: dict[str, set[str]] = {}
         middles: dict[str, Counter] = {}
-        for given, _, n in members:
+        for given, _, n, count, formal, _ in members:
             if len(given) and len(given[0]) > 2 and not given[0].endswith("."):
                 full[given[0]] += n
+                common[given[0]] = count
+                if formal:
+                    nicks[given[0]] = set(formal)
                 for m in given[1:]:
                     middles.setdefault(given[0], Counter())[m[0]] += n
+        shorts: dict[str, list[str]] = {}
+        for g in nicks:
+            for x in nicks[g]:
+                shorts.setdefault(x, []).append(g)
+        trie = Trie(list(full)) if len(full) > 1 else None
         # slips and short forms of a full given name
         root: dict[str, str] = {}
-        for g in sorted(full, key=lambda g: (common.get(g, 0), full[g], g)):
-            formal = [x for x in full if x != g and (x in nicks.get(g, ()) or (g in nicks and nicks[g] & nicks.get(x, set()) and (full[x], x) > (full[g], g)))]
+        for g in sorted(full, key=lambda g: (common[g], full[g], g)):
+            formal = {x for x in nicks.get(g, ()) if x in full and x != g}
+            formal |= {x for f in nicks.get(g, ()) for x in shorts[f] if x != g and (full[x], x) > (full[g], g)}
             if formal:
                 root[g] = max(formal, key=lambda x: (full[x], x))
                 continue
-            mine = common.get(g, 0)
-            near = [x for x in full if x != g and x not in root and within_one(g, x) and (mine <= 1 or 3 * mine <= common.get(x, 0)) and (common.get(x, 0), full[x], x) > (mine, full[g], g)]
+            mine = common[g]
+            near = [x for x in (trie.near(g) if trie else ()) if x != g and x not in root and (mine <= 1 or 3 * mine <= common[x]) and (common[x], full[x], x) > (mine, full[g], g)]
             if near:
-                root[g] = max(near, key=lambda x: (common.get(x, 0), full[x], x))
+                root[g] = max(near, key=lambda x: (common[x], full[x], x))
         for g in list(root):
             seen = {g}
             while root[g] in root and root[g] not in seen:
@@ -165,27 +179,34 @@ def _profiles(common: dict[str, int], nicks: dict[str, set[str]]):
         letters: dict[str, list[str]] = {}
         for g in weight:
             letters.setdefault(g[0], []).append(g)
-        by_first = {g[0]: [x for x in full if x[0] == g[0]] for g in full}
+        by_first: dict[str, list[str]] = {}
+        for g in full:
+            by_first.setdefault(g[0], []).append(g)
+        fitting: dict[str, set[str]] = {}
 
-        def fit(given, nick: str) -> str:
+        def fits_of(g: str) -> set[str]:
+            """The profiles an initial or a cut form may stand for."""
+            stem = g.rstrip(".")
+            if g.endswith("."):
+                return {root.get(x, x) for x in by_first.get(stem[0], ()) if x.startswith(stem[:2]) and (x.startswith(stem) or within_one(x[: len(stem)], stem))}
+            return set(letters.get(stem[0], ())) if len(stem) == 1 else {x for x in weight if within_one(x[: len(stem)], stem)}
+
+        def fit(given, nick: str, quoted) -> str:
             if not len(given):
                 return ""
             g = given[0]
             if len(g) > 2 and not g.endswith("."):
                 return root.get(g, g)
             stem = g.rstrip(".")
-            if g.endswith("."):
-                fits = {root.get(x, x) for x in by_first.get(stem[0], ()) if x.startswith(stem[:2]) and (x.startswith(stem) or within_one(x[: len(stem)], stem))}
-            else:
-                fits = set(letters.get(stem[0], ())) if len(stem) == 1 else {x for x in weight if within_one(x[: len(stem)], stem)}
+            if g not in fitting:
+                fitting[g] = fits_of(g)
+            fits = fitting[g]
             if nick:
-                fits = {x for x in fits if x in nicks.get(nick, ())} or fits
+                fits = fits & set(quoted) or fits
             rest = [m[0] for m in given[1:]]
             if rest and len(fits) > 1:
                 agree = {x for x in fits if middles.get(x) and rest[0] in middles[x]} or {x for x in fits if not middles.get(x)}
                 fits = agree or fits
-            elif len(fits) > 1 and not rest:
-                pass
             if len(fits) == 1:
                 return next(iter(fits))
             ordered = sorted(fits, key=lambda x: (-weight[x], x))
@@ -194,44 +215,46 @@ def _profiles(common: dict[str, int], nicks: dict[str, set[str]]):
             # nothing to choose by: those with the same letter stay together, apart from the full names
             return stem[0] if not fits else "?" + stem
 
-        return [fit(g, k) for g, k, _ in members]
+        return [fit(g, k, q) for g, k, _, _, _, q in members]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches come sorted by surname; a surname's names are resolved when the next one begins."""
         at, held = None, []
 
         def done() -> list[tuple]:
-            return [(name, n, at, p) for (name, n, *_), p in zip(held, resolve([(g, k, n) for _, n, g, k in held]))]
+            return [(name, n, at, p) for (name, n, *_), p in zip(held, resolve([(g, k, n, *more) for _, n, g, k, *more in held]))]
 
         columns = ["name", "n", "surname", "profile"]
         for df in batches:
             out = []
-            for name, n, surname, given, nick in zip(df["name"], df["n"], df["surname"], df["given"], df["nick"]):
+            for name, n, surname, given, nick, common, *more in zip(*[df[c] for c in ("name", "n", "surname", "given", "nick", "common", "formal", "quoted")]):
                 if surname != at:
                     out += done()
                     at, held = surname, []
-                held.append((name, n, given, nick))
+                held.append((name, n, given, nick, common, *[() if x is None else tuple(x) for x in more]))
             yield pd.DataFrame(out, columns=columns)
         yield pd.DataFrame(done(), columns=columns)
 
     return run
 
 
-def identities(rows: DataFrame, name_col: str, max_given: int = 200_000) -> DataFrame:
+def identities(rows: DataFrame, name_col: str) -> DataFrame:
     """(name, person): the distinct names with the key of the person or organisation they mean."""
     names = parsed_names(rows, name_col)
     people = names.where("not grp")
-    # counts of given names tell slips from names; learned short forms come from names that quote one
-    firsts = people.where("size(given) > 0 and length(given[0]) > 2").groupBy(F.col("given")[0].alias("g")).agg(F.sum("n").alias("n"))
-    common = {r["g"]: r["n"] for r in firsts.where("n > 1").orderBy(F.desc("n"), "g").limit(max_given).collect()}
-    quoted = people.where("nick <> '' and size(given) > 0 and length(given[0]) > 2").groupBy("nick", F.col("given")[0].alias("g")).agg(F.count("*").alias("n"))
-    nicks: dict[str, set[str]] = {}
-    for short, formal in NICKNAMES.items():
-        nicks.setdefault(short, set()).add(formal)
-    for r in quoted.orderBy(F.desc("n"), "nick", "g").limit(max_given).collect():
-        nicks.setdefault(r["nick"], set()).add(r["g"])
-    sorted_ = people.select("name", "n", "surname", "given", "nick").repartition(_tasks(people), "surname").sortWithinPartitions("surname")
-    resolved = sorted_.mapInPandas(_profiles(common, nicks), "name string, n long, surname string, profile string")
+    # counts of given names tell slips from names; short forms are known or learned from names that quote one. Both come
+    # to the names by joins, however many there are
+    first = F.when((F.size("given") > 0) & (F.length(F.col("given")[0]) > 2), F.col("given")[0])
+    people = people.select("name", "n", "surname", "given", "nick", first.alias("first"))
+    counts = people.where("first is not null").groupBy(F.col("first").alias("g")).agg(F.sum("n").alias("c")).where("c > 1")
+    known = rows.sparkSession.createDataFrame(list(NICKNAMES.items()), "short string, full string")
+    quoted = people.where("nick <> '' and first is not null").select(F.col("nick").alias("short"), F.col("first").alias("full"))
+    shorts = stage(known.unionByName(quoted).groupBy("short").agg(F.collect_set("full").alias("forms")))
+    mine, theirs = shorts.select(F.col("short").alias("k1"), F.col("forms").alias("formal")), shorts.select(F.col("short").alias("k2"), F.col("forms").alias("quoted"))
+    people = people.join(counts, F.col("first") == F.col("g"), "left").join(mine, F.col("first") == F.col("k1"), "left").join(theirs, F.col("nick") == F.col("k2"), "left")
+    people = people.select("name", "n", "surname", "given", "nick", F.coalesce("c", F.lit(0)).alias("common"), "formal", "quoted")
+    sorted_ = people.repartition(_tasks(people), "surname").sortWithinPartitions("surname")
+    resolved = sorted_.mapInPandas(_profiles(), "name string, n long, surname string, profile string")
     groups = names.where("grp").select("name", "n", "surname", F.lit("").alias("profile"))
     resolved = stage(resolved.unionByName(groups))
     persons = resolved.groupBy("surname", "profile").agg(F.sum("n").alias("n"))
@@ -247,11 +270,11 @@ def identities(rows: DataFrame, name_col: str, max_given: int = 200_000) -> Data
     best = F.max(F.struct((F.col("px") == F.col("py")).alias("same"), "ny", "sy", "y", "py"))
     links = joined.groupBy("x", "px").agg(best.alias("to"), F.count_distinct("py").alias("choices")).where("to.same or choices = 1")
     links = links.select(F.col("x").alias("surname"), F.col("px").alias("profile"), F.col("to.y").alias("ts"), F.col("to.py").alias("tp"))
-    links = stage(links)
-    second = links.select(F.col("surname").alias("s2"), F.col("profile").alias("p2"), F.col("ts").alias("ts2"), F.col("tp").alias("tp2"))
-    links = links.join(second, (F.col("ts") == F.col("s2")) & (F.col("tp") == F.col("p2")), "left").select("surname", "profile", F.coalesce("ts2", "ts").alias("ts"), F.coalesce("tp2", "tp").alias("tp"))
-    out = resolved.join(links, ["surname", "profile"], "left")
-    return out.select("name", F.concat_ws("|", F.coalesce("ts", "surname"), F.coalesce("tp", "profile")).alias("person"))
+    # slips of slips come to one person, however long their chain
+    key = lambda surname, profile: F.concat_ws("|", surname, profile)
+    roots = components(links.select(key("surname", "profile").alias("a"), key("ts", "tp").alias("b")))
+    out = resolved.select("name", key("surname", "profile").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
+    return out.select("name", F.coalesce("root", "own").alias("person"))
 
 
 def same_name_pairs(rows: DataFrame, id_col: str, name_col: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import components
+
 AUTHOR_THRESHOLD, TITLE_THRESHOLD = 92.0, 94.0
 
 
@@ -82,22 +84,11 @@ def resolve_authors(rows: DataFrame, block: str, name: str, order: str, threshol
 def book_components(rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, component): rows linked by an equal non-null value of any key, by smallest labels with pointer jumping.
     The graph has one edge from each row to each of its key values, so a frequent value adds no pairs."""
-    from quillon.session import cut, stage
-
     sides = [rows.where(F.col(k).isNotNull()).select(F.concat(F.lit("r"), F.col(id_col).cast("string")).alias("x"), F.concat(F.lit(f"k{i}:"), F.col(k).cast("string")).alias("y")) for i, k in enumerate(keys)]
     links = sides[0]
     for s in sides[1:]:
         links = links.unionByName(s)
-    links = stage(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-    labels = cut(links.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"))
-    while True:
-        near = links.join(labels, links["y"] == labels["node"]).groupBy("x").agg(F.min("root").alias("low"))
-        low = labels.join(near, labels["node"] == near["x"]).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        up = labels.select(F.col("node").alias("r"), F.col("root").alias("above"))
-        new = cut(low.join(up, low["root"] == up["r"], "left").select("node", "old", F.coalesce("above", "root").alias("root")))
-        labels = new.select("node", "root")
-        if not new.where("old <> root").limit(1).count():
-            break
+    labels = components(links, "x", "y")
     return rows.select(F.col(id_col).alias("id")).join(labels, F.concat(F.lit("r"), F.col("id").cast("string")) == F.col("node"), "left").select("id", F.coalesce("root", F.concat(F.lit("r"), F.col("id").cast("string"))).alias("component"))
 
 

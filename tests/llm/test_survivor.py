@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm.survivor import real_date, real_pages, real_text, survivors, transitions
+from quillon.llm.survivor import closed, real_date, real_pages, real_text, survivors, transitions
 
 SCHEMA = "id bigint, k string, publisher string, pages int, day date, src string, seen timestamp, _n int"
 T = lambda d: datetime(2025, 1, d)
@@ -46,3 +46,29 @@ def test_transitions_cross_quarters(spark):
     rows = [("k", "a", datetime(2025, 1, 1)), ("k", "b", datetime(2025, 7, 1)), ("k", "b", datetime(2025, 7, 2)), ("k", "c", None)]
     df = spark.createDataFrame(rows, "k string, v string, t timestamp")
     assert [tuple(r) for r in transitions(df, ["k"], "v", "t").collect()] == [("a", "b")]
+
+
+def test_closure_follows_chains_and_drops_circles(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w")]
+    got = {tuple(r) for r in closed(spark.createDataFrame(rows, "older string, newer string")).collect()}
+    chain = {(a, b) for i, a in enumerate("abcde") for b in "abcde"[i + 1 :]}
+    assert got == chain | {("x", "w"), ("y", "w"), ("z", "w")}
+    assert closed(spark.createDataFrame([], "older string, newer string")).count() == 0
+
+
+def test_precedence_needs_significance(spark):
+    rows = [(f"k{i}", v, datetime(2025, 1, d)) for i in range(4) for v, d in (("a", 1), ("b", 2))] + [("m", "b", T(1)), ("m", "c", T(2))]
+    df = spark.createDataFrame(rows, "k string, v string, t timestamp")
+    assert [tuple(r) for r in transitions(df, ["k"], "v", "t", significance=2.0).collect()] == [("a", "b")]
+
+
+def test_topologically_latest_by_a_chain_of_learned_steps(spark):
+    """Old became Mid and Mid became New in other groups; no group went from Old to New, and no time orders this one."""
+    rows = []
+    for i in range(6):
+        rows += [(100 + i, f"g{i}", "Old House", None, None, "hi", T(1)), (200 + i, f"g{i}", "Mid House", None, None, "hi", T(2))]
+        rows += [(300 + i, f"h{i}", "Mid House", None, None, "hi", T(1)), (400 + i, f"h{i}", "New House", None, None, "hi", T(2))]
+    rows += [(1, "u", "Old House", None, None, "hi", T(9)), (2, "u", "New House", None, None, "hi", None), (3, "u", "Other", None, None, "hi", None)]
+    rows += [(4, "w", "New House", None, None, "hi", T(1)), (5, "w", "Old House", None, None, "hi", None), (6, "w", "Odd", None, None, "lo", None)]
+    got = run(spark, rows)
+    assert got[("u", "publisher")] == 2 and got[("w", "publisher")] == 4

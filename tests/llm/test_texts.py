@@ -79,6 +79,17 @@ def test_packing_is_whole_and_within_capacity(spark, stream_items):
     assert packed(df.limit(0), specs, "id", "n").count() == 0 and packed(df, specs.limit(0), "id", "n").count() == 0
 
 
+def test_specs_whose_ids_differ_by_a_thousand_do_not_share_containers(spark):
+    rnd = random.Random(5)
+    items = [(i, rnd.randrange(1, 90)) for i in range(400)]
+    df = spark.createDataFrame(items, "id bigint, n int")
+    specs = spark.createDataFrame([(1, 100), (1001, 1000), (2001, 50)], "spec_id int, capacity int")
+    used = {r["spec_id"]: r for r in fill_report(packed(df, specs, "id", "n")).collect()}
+    total = sum(n for _, n in items)
+    assert used[1001]["containers"] <= total / 1000 + 2 and used[1]["containers"] > total / 100
+    assert packed(df, specs, "id", "n").where("fill > capacity").count() == 0
+
+
 def test_mixing(spark):
     rnd = random.Random(4)
     items = [(s, i, rnd.randrange(5, 60), rnd.random()) for s, n in (("hot", 2000), ("mid", 400), ("small", 50)) for i in range(n)] + [("hot", 99999, 0, 1.0), ("mid", 99998, None, 1.0), (None, 5, 10, 1.0)]
