@@ -178,11 +178,11 @@ class Dictionary:
                 self.blocked.add(stem)
         self._index()
 
-    def add(self, form: str, ref: int) -> None:
-        """Another name of an entry; names that mean one already stay as they are."""
-        if form not in self.exact:
-            self.exact[form] = {ref}
-            self._index()
+    def add(self, names: list[tuple[str, int]]) -> None:
+        """Other names of entries; names that mean one already stay as they are."""
+        for form, ref in names:
+            self.exact.setdefault(form, {ref})
+        self._index()
 
     def watched(self) -> list[str]:
         """The compact values whose counts weigh() looks at; their number is a multiple of the list's size."""
@@ -291,12 +291,16 @@ def _resolver(spark, dictionaries: dict[str, Dictionary]):
     return resolve
 
 
-@F.pandas_udf("string")
-def plain_form(texts: pd.Series) -> pd.Series:
+def plain_form(text: Column) -> Column:
     """The last plain reading of a typed value without its decorations, compact; null if nothing is left."""
-    reader = Dictionary([])
-    known = {t: (list(reader.forms(t)) or [None])[-1] if t else None for t in texts.unique()}
-    return texts.map(known)
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        reader = Dictionary([])
+        known = {t: (list(reader.forms(t)) or [None])[-1] if t else None for t in texts.unique()}
+        return texts.map(known)
+
+    return read(text)
 
 
 def learned_names(resolved: DataFrame, field: str, row: str, key: str, ref: str, form: str, fields: tuple[str, ...], support: int = 3, exclusive: float = 0.6, rarest: float = 1 / 20_000) -> DataFrame:
@@ -315,11 +319,11 @@ def learned_names(resolved: DataFrame, field: str, row: str, key: str, ref: str,
     votes = votes.select("f", "w", F.array_except("theirs", F.coalesce("mine", F.array().cast("array<bigint>"))).alias("lacking")).where("size(lacking) > 0")
     votes = stage(votes)
     least = F.greatest(F.lit(support), F.ceil(F.lit(votes.count() * rarest)))
-    counted = votes.groupBy("f", "w", F.explode("lacking").alias("e")).agg(F.count("*").alias("n"))
-    best = counted.groupBy("f", "w").agg(F.max(F.struct("n", -F.col("e"))).alias("b"))
+    counted = votes.select("f", "w", F.explode("lacking").alias("e")).groupBy("f", "w", "e").agg(F.count("*").alias("n"))
+    best = counted.groupBy("f", "w").agg(F.max(F.struct("n", (-F.col("e")).alias("low"))).alias("b"))
     total = votes.groupBy(F.col("f").alias("f3"), F.col("w").alias("w3")).agg(F.count("*").alias("total"))
     joined = best.join(total, (F.col("f") == F.col("f3")) & (F.col("w") == F.col("w3")))
-    out = joined.select(F.col("f").alias("field"), F.col("w").alias("form"), (-F.col("b.col2")).alias("ref"), F.col("b.n").alias("rows"), (F.col("b.n") / F.col("total")).alias("share"))
+    out = joined.select(F.col("f").alias("field"), F.col("w").alias("form"), (-F.col("b.low")).alias("ref"), F.col("b.n").alias("rows"), (F.col("b.n") / F.col("total")).alias("share"))
     return out.where((F.col("rows") >= least) & (F.col("share") >= exclusive))
 
 
@@ -335,9 +339,9 @@ def mapped(values: DataFrame, field_col: str, value_col: str, entries: DataFrame
     first, form = fresh(values, "_first"), fresh(values, "_form")
     resolved = values.withColumn(first, _resolver(spark, dictionaries)(field, value))
     resolved = stage(resolved.withColumn(form, F.when((F.col(first) < 0) & field.isin(list(learned_fields)), plain_form(value))))
-    for r in learned_names(resolved, field_col, *learn, first, form, learned_fields).collect():  # bounded by rarest
-        if r["field"] in dictionaries:
-            dictionaries[r["field"]].add(r["form"], r["ref"])
+    names = learned_names(resolved, field_col, *learn, first, form, learned_fields).collect()  # bounded by rarest
+    for name, d in dictionaries.items():
+        d.add(sorted((r["form"], r["ref"]) for r in names if r["field"] == name))
     again = F.when(F.col(first) >= 0, F.col(first)).otherwise(_resolver(spark, dictionaries)(field, F.when(F.col(first) < 0, value)))
     return resolved.withColumn(out, again).drop(first, form)
 

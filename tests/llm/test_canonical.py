@@ -83,3 +83,27 @@ def test_long_values_are_judged_after_cleaning():
     path = "Shelf of Things > " * 40
     assert len(path) > 400 and KINDS.resolve(path + "Cooking") == KINDS.resolve("Shelf > Cooking")
     assert BOOKS.resolve("Marlow " * 80 + ": Quiet Hill House") == BOOKS.resolve("Marlow : Quiet Hill House") == 1
+
+
+def test_other_names_are_learned_from_rows_about_one_thing(spark):
+    """'whodunits' shares no letters with the entry it means; junk that goes with everything is not learned."""
+    entries = spark.createDataFrame([(1, "category", "Mystery", None), (2, "category", "Gardening", None), (3, "category", "Poetry", None)], "ref_id bigint, field_name string, label string, short_form string")
+    rows = []
+    for i in range(6):
+        rows += [(2 * i, "category", "Mystery", f"k{i}", 0), (2 * i + 1, "category", "Whodunits", f"k{i}", 0), (2 * i + 1, "category", "staff picks", f"k{i}", 0)]
+    for i in range(6, 30):
+        other = ["Gardening", "Poetry"][i % 2]
+        rows += [(2 * i, "category", other, f"k{i}", 0), (2 * i + 1, "category", "staff picks", f"k{i}", 0)]
+    rows += [(99, "category", "whodunit", None, 0), (100, "category", None, "k1", 0), (101, "other", "Mystery", "k1", 0), (102, "category", "Mystery" + " " * 5000, None, 0)]
+    df = spark.createDataFrame(rows, "id bigint, f string, v string, k string, _first int")
+    got = {(r["id"], r["v"]): r["ref_id"] for r in mapped(df, "f", "v", entries, learn=("id", "k"), learned_fields=("category",)).collect()}
+    assert got[(1, "Whodunits")] == 1 and got[(99, "whodunit")] == 1 and got[(1, "staff picks")] == -1 and got[(100, None)] == -1 and got[(101, "Mystery")] == -1 and got[(102, "Mystery" + " " * 5000)] == 1
+    assert mapped(df.limit(0), "f", "v", entries, learn=("id", "k")).count() == 0
+    assert {r["ref_id"] for r in mapped(df, "f", "v", entries.limit(0), learn=("id", "k")).collect()} == {-1}
+
+
+def test_workers_keep_answers_apart_by_dictionary():
+    from quillon.llm.canonical import _kept
+
+    _kept("a")["x"] = 1
+    assert "x" not in _kept("b") and _kept("a")["x"] == 1

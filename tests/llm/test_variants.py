@@ -75,3 +75,25 @@ def test_pairs(spark):
 def test_frequent_name_costs_one_row(spark):
     df = spark.createDataFrame([("Margaret Halebrook",)] * 500 + [("Halebrook, Margaret",)] * 3, "n string")
     assert identities(df, "n").count() == 2
+
+
+def test_short_surnames_are_joined_too(spark):
+    own = ["reed", "reid", "lee", "leo", "li", "lo", "read", "rede", "ash"]
+    got = {tuple(r) for r in trie_join(spark.createDataFrame([(w,) for w in own], "w string"), "w").collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(own), 2) if edits(a, b) <= 1}
+    df = spark.createDataFrame([("Margaret Reed",)] * 60 + [("Margaret Reid",)], "n string")
+    assert len({r["person"] for r in identities(df, "n").collect()}) == 1
+
+
+def test_slips_of_slips_come_to_one_person(spark):
+    """Each spelling is a slip of the next more frequent one; the ends of the chain are three edits apart."""
+    spelled = [("Halebrook", 5000), ("Halebrok", 90), ("Halebrk", 1)]
+    df = spark.createDataFrame([(f"Margaret {s}",) for s, n in spelled for _ in range(n)], "n string")
+    assert len({r["person"] for r in identities(df, "n").collect()}) == 1
+
+
+def test_a_turned_name_keeps_all_its_given_names(spark):
+    many = " ".join("abcdefghijklm"[i] * 3 + "ora" for i in range(12))
+    rows = [("Margaret " + x,) for x in ("Underwood", "Winterbourne", "Applegarth")] * 4 + [(f"{x} Halebrook",) for x in ("Anna", "Clara", "Edith")] * 4 + [(f"Halebrook Margaret {many}",)]
+    got = {r["name"]: r["person"] for r in identities(spark.createDataFrame(rows, "n string"), "n").collect()}
+    assert len(got) == 7
