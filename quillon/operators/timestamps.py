@@ -14,6 +14,10 @@ unless only the other order exists; two-digit years fall into the allowed range
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +44,9 @@ ABBREVIATIONS = {
     "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600, "ast": -240, "adt": -180,
 }
 AMBIGUOUS = {("ist", "Asia/Jerusalem"): 120, ("ist", "Europe/Dublin"): 60, ("cst", "Asia/Shanghai"): 480, ("cst", "Asia/Taipei"): 480, ("est", "Australia/Sydney"): 600, ("est", "Australia/Melbourne"): 600}
-#: Zones tried for sources that declare none: one for each offset history in common use.
-CANDIDATES = ["UTC", "Europe/London", "Europe/Berlin", "Europe/Athens", "Europe/Moscow", "Asia/Kolkata", "Asia/Kathmandu", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Pacific/Auckland", "America/St_Johns", "America/New_York", "America/Chicago", "America/Denver", "America/Phoenix", "America/Los_Angeles", "America/Sao_Paulo"]
+#: Names preferred for an offset history that several zones share; others are named by their first zone in the alphabet.
+KNOWN_ZONES = ["UTC", "Europe/London", "Europe/Berlin", "Europe/Athens", "Europe/Moscow", "Asia/Kolkata", "Asia/Kathmandu", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Pacific/Auckland", "America/St_Johns", "America/New_York", "America/Chicago", "America/Denver", "America/Phoenix", "America/Los_Angeles", "America/Sao_Paulo"]
+_WEEK, _FIRST_SUNDAY = 604800, 946771200  # Sunday 2000-01-02, 00:00 UTC
 
 _MARK = "\u0001"
 #: What may follow a date: a clock time with an optional half of the day, then a zone.
@@ -166,27 +171,69 @@ def rendered(seconds: Column, day_only: Column) -> Column:
     return F.when(day_only, day).otherwise(F.concat(day, F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z")))
 
 
-def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingested: str, candidates: list[str] = CANDIDATES, near_s: int = 172800) -> DataFrame:
-    """(source, zone, violations, evidence): for each source the candidate offset history that the fewest rows violate.
+def offset_histories(spark: SparkSession, last_year: int = 2027) -> DataFrame:
+    """(zone, name, offsets): every zone of the running JVM with the name of its offset history, and the offsets in
+    seconds at noon of each Sunday from 2000 on, as clocks change on Sundays nearly everywhere."""
+    ids = [x for x in spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds() if x == "UTC" or x.split("/")[0] in ("Africa", "America", "Antarctica", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific")]
+    weeks = ((last_year + 1 - 2000) * 31556952) // _WEEK
+    zones = spark.createDataFrame([(x, KNOWN_ZONES.index(x) if x in KNOWN_ZONES else 1000) for x in sorted(ids)], "zone string, preferred int").repartition(8)
+    at = F.col("week") * _WEEK + _FIRST_SUNDAY + 43200
+    points = zones.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1)))).select("zone", "preferred", "week", (at - F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(at), F.col("zone")))).cast("int").alias("o"))
+    lists = points.groupBy("zone", "preferred").agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "o"))), lambda x: x["o"]).alias("offsets"))
+    names = lists.groupBy("offsets").agg(F.min(F.struct("preferred", "zone"))["zone"].alias("name"))
+    return lists.join(names, "offsets").select("zone", "name", "offsets")
+
+
+def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingested: str, candidates: list[str] | None = None, near_s: int = 172800, slack_s: int = 60, min_near: int = 5, significance: float = 2.0) -> DataFrame:
+    """(source, zone, violations, evidence): for each source the offset history that its rows violate least.
+
+    All distinct histories of the time zone database are candidates, or those of the given zones. A row without an offset, whose wall time lies
+    within near_s of its ingestion, is evidence by its delay: under the right history rows are never ingested before
+    they are written, and soon after. A negative delay (beyond slack_s) is a violation of 1; a longer one than need be is
+    a violation of its share of near_s, so that a zone too far east, or one without the source's summer time, loses to
+    the one that makes the delays short all year. A row with a stated offset violates every history that has another
+    offset at that wall time by 1; an offset of 0 is how feeds of any zone write UTC and says nothing.
 
-    A row with a stated offset violates a history that has another offset at that wall time; a row without one, whose
-    wall time lies within near_s of its ingestion, violates a history under which it was written after it was
-    ingested. Each candidate is one summed column, so the rows are read once and combined before the shuffle. Ties go
-    to the candidate named first. A stated offset of 0 is how feeds of any zone write UTC, so it says nothing about the
-    source's own clock. A source without evidence gets no row.
+    `violations` counts rows, those by 1. A source gets a row if min_near rows are evidence by delay, or if the history that matches most stated offsets leads
+    the next one of another standard time by `significance` standard deviations. Ties go to the preferred name. Sums per source and candidate leave each batch, so a frequent source is never in one task.
     """
-    own, given, at = F.col(local), F.col(offset), F.unix_seconds(F.col(ingested))
-    rows = rows.where(F.coalesce(given != 0, F.lit(True)))
-    counted = F.when(given.isNotNull(), True).when(F.abs(own - at) <= near_s, True)
-    sums = []
-    for i, zone in enumerate(candidates):
-        utc = instant(own, F.lit(None).cast("long"), F.lit(zone))
-        bad = F.when(given.isNotNull(), utc != own - given).when(F.abs(own - at) <= near_s, utc > at)
-        sums.append(F.sum(F.when(bad, 1).otherwise(0)).alias(f"v{i}"))
-    grouped = rows.where(F.col(local).isNotNull()).groupBy(source).agg(F.count(counted).alias("evidence"), *sums).where("evidence > 0")
-    best = F.array_min(F.array(*[F.struct(F.col(f"v{i}").alias("violations"), F.lit(i).alias("i")) for i in range(len(candidates))]))
-    names = F.array(*[F.lit(x) for x in candidates])
-    return grouped.withColumn("best", best).select(source, F.element_at(names, F.col("best.i") + 1).alias("zone"), F.col("best.violations").alias("violations"), "evidence")
+    spark = rows.sparkSession
+    histories = offset_histories(spark)
+    if candidates is not None:
+        histories = histories.where(F.col("zone").isin(candidates)).withColumn("name", F.col("zone"))
+    kept = histories.groupBy("name").agg(F.first("offsets").alias("offsets")).collect()  # a few hundred
+    kept = sorted(kept, key=lambda r: (KNOWN_ZONES.index(r["name"]) if r["name"] in KNOWN_ZONES else 1000, r["name"]))
+    names, table = [r["name"] for r in kept], np.array([r["offsets"] for r in kept], dtype=np.int32)
+    shared = spark.sparkContext.broadcast(table)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets = shared.value
+        for df in batches:
+            out = []
+            for name, part in df.groupby("s", dropna=False, sort=False):
+                own, at = part["l"].to_numpy(), part["at"].to_numpy()
+                stated = part["o"].notna().to_numpy()
+                there = offsets[:, np.clip((own - _FIRST_SUNDAY) // _WEEK, 0, offsets.shape[1] - 1)]
+                delay = (at - own)[None, :] + there
+                soft = np.where(delay < -slack_s, 1.0, np.clip(delay, 0, near_s) / near_s)
+                match = there == part["o"].fillna(0).to_numpy()[None, :]
+                out.append((name if isinstance(name, str) else None, soft[:, ~stated].sum(axis=1).tolist(), (delay[:, ~stated] < -slack_s).sum(axis=1).tolist(), match[:, stated].sum(axis=1).tolist(), int(stated.sum()), int((~stated).sum())))
+            yield pd.DataFrame(out, columns=["s", "soft", "early", "matched", "stated", "near"])
+
+    own, at = F.col(local), F.unix_seconds(F.col(ingested))
+    evidence = rows.where(F.col(local).isNotNull() & (F.col(offset).isNotNull() | (F.abs(own - at) <= near_s)) & F.coalesce(F.col(offset) != 0, F.lit(True)) & (own >= _FIRST_SUNDAY))
+    slim = evidence.select(F.col(source).alias("s"), own.alias("l"), F.col(offset).cast("double").alias("o"), at.alias("at")).where("o is not null or at is not null")
+    parts = slim.mapInPandas(weigh, "s string, soft array<double>, early array<long>, matched array<long>, stated long, near long")
+    each = parts.select("s", "stated", "near", F.posexplode(F.arrays_zip("soft", "early", "matched")).alias("i", "x")).groupBy("s", "i").agg(F.sum("x.soft").alias("soft"), F.sum("x.early").alias("early"), F.sum("x.matched").alias("matched"), F.sum("stated").alias("stated"), F.sum("near").alias("near"))
+    ranked = each.select("s", "near", (F.col("near") + F.col("stated")).alias("evidence"), F.struct(F.round(F.col("soft") + F.col("stated") - F.col("matched"), 6).alias("cost"), "i", "matched", (F.col("early") + F.col("stated") - F.col("matched")).alias("violations")).alias("c"))
+    listed = ranked.groupBy("s").agg(F.first("near").alias("near"), F.first("evidence").alias("evidence"), F.array_sort(F.collect_list("c")).alias("all"))  # a row per candidate
+    standard = F.array(*[F.lit(int(x)) for x in table[:, -52:].min(axis=1)]) if len(names) else F.array().cast("array<int>")
+    first = listed.withColumn("one", F.get("all", F.lit(0))).withColumn("own", F.get(standard, F.col("one.i")))
+    rival = F.get(F.filter("all", lambda c: F.get(standard, c["i"]) != F.col("own")), F.lit(0))
+    best = first.select("s", "near", "evidence", "one", F.coalesce(rival["matched"], F.lit(0)).alias("other"))
+    clear = (F.col("near") >= min_near) | (F.col("one.matched") - F.col("other") >= significance * F.sqrt(F.col("one.matched") + F.col("other")))
+    zone = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("one.i") + 1)
+    return best.where(clear & (F.col("evidence") > 0) & ((F.col("near") >= min_near) | (F.col("one.matched") > 0))).select(F.col("s").alias(source), zone.alias("zone"), F.col("one.violations").alias("violations"), "evidence")
 
 
 def published_norm(rows: DataFrame, sources: DataFrame, text: str = "published_date", source: str = "source_id", ingested: str = "fetched_at", out: str = "published_norm", default_zone: str = "UTC", max_sources: int = 100_000) -> DataFrame:
@@ -218,9 +265,13 @@ def published_norm(rows: DataFrame, sources: DataFrame, text: str = "published_d
 
 
 def source_zones(rows: DataFrame, sources: DataFrame, text: str = "published_date", source: str = "source_id", ingested: str = "fetched_at") -> DataFrame:
-    """(source_id, declared, zone, violations, evidence): the estimate for every source, declared or not."""
+    """(source_id, declared, zone, violations, evidence, agrees): the estimate for every source, declared or not, where
+    there is enough evidence; agrees: whether it has the declared zone's offset history."""
     slim = rows.select(F.col(source).alias("source_id"), F.col(text).alias("text"), F.col(ingested).alias("i"), F.lit(None).cast("string").alias("order"))
     p = with_parsed(slim, "text", "order", "p_").where("p_form = 'local'")
     evidence = p.select("source_id", F.col("p_local").alias("l"), offset_in(F.col("p_zone"), F.lit(None).cast("string")).alias("o"), "i")
     names = sources.select(F.col("id").alias("source_id"), F.col("time_zone").alias("declared"))
-    return estimate_zones(evidence, "source_id", "l", "o", "i").join(small(names, 100_000), "source_id", "left").select("source_id", "declared", "zone", "violations", "evidence")
+    histories = offset_histories(rows.sparkSession).select(F.col("zone").alias("declared"), F.col("name").alias("history"))
+    found = estimate_zones(evidence, "source_id", "l", "o", "i")
+    joined = found.join(small(names, 100_000), "source_id", "left").join(histories, "declared", "left")
+    return joined.select("source_id", "declared", "zone", "violations", "evidence", (F.col("zone") == F.coalesce("history", "declared")).alias("agrees"))

@@ -72,6 +72,22 @@ def test_zone_from_ingestion_times(spark):
     assert (best["zone"], best["violations"], best["evidence"]) == ("Asia/Tokyo", 0, 20)
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "America/Los_Angeles", "Asia/Kolkata", "Pacific/Auckland", "Europe/Berlin", "UTC", "America/Phoenix", "America/St_Johns"])
+def test_zone_without_any_offset_from_delays_on_both_sides(spark, zone):
+    """Rows ingested minutes after they were written, all year round, name the history: no zone further east will do."""
+    at = [datetime(2024, 1, 3, 12) + timedelta(days=6 * i, hours=i % 7) for i in range(60)]
+    local = [int((t.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()) - 300 for t in at]
+    df = spark.createDataFrame([("s", x, None, t) for x, t in zip(local, at)], "source string, l bigint, o bigint, i timestamp")
+    best = estimate_zones(df, "source", "l", "o", "i").collect()
+    assert [(r["zone"], r["violations"], r["evidence"]) for r in best] == [(zone, 0, 60)]
+
+
+def test_few_or_contradictory_rows_name_no_zone(spark):
+    rows = [("few", 1_700_000_000, None, datetime(2023, 11, 14, 22, 13)), ("mixed", 1_700_000_000, 3600, None), ("mixed", 1_700_000_000, -18000, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "source string, l bigint, o bigint, i timestamp")
+    assert estimate_zones(df, "source", "l", "o", "i").count() == 0 and estimate_zones(df.limit(0), "source", "l", "o", "i").count() == 0
+
+
 @pytest.mark.parametrize("kind", ["one source with a third of all rows"])
 def test_hot_source(spark, kind):
     rows = [("de", "2024-03-01T10:00:00")] * 200 + [("ny", "2024")] * 50
