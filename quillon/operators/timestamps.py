@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import fresh, held, small
+from quillon.session import fresh, held, small, stage
 
 MONTHS = {
     1: "jan january januar janvier janv enero ene janner",
@@ -184,18 +184,19 @@ def offset_histories(spark: SparkSession, last_year: int = 2027) -> DataFrame:
     return lists.join(names, "offsets").select("zone", "name", "offsets")
 
 
-def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingested: str, candidates: list[str] | None = None, near_s: int = 172800, slack_s: int = 60, min_near: int = 5, significance: float = 2.0) -> DataFrame:
+def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingested: str, candidates: list[str] | None = None, near_s: int = 172800, slack_s: int = 60, min_near: int = 5, significance: float = 3.0) -> DataFrame:
     """(source, zone, violations, evidence): for each source the offset history that its rows violate least.
 
-    All distinct histories of the time zone database are candidates, or those of the given zones. A row without an offset, whose wall time lies
-    within near_s of its ingestion, is evidence by its delay: under the right history rows are never ingested before
-    they are written, and soon after. A negative delay (beyond slack_s) is a violation of 1; a longer one than need be is
-    a violation of its share of near_s, so that a zone too far east, or one without the source's summer time, loses to
-    the one that makes the delays short all year. A row with a stated offset violates every history that has another
-    offset at that wall time by 1; an offset of 0 is how feeds of any zone write UTC and says nothing.
+    All distinct histories of the time zone database are candidates, or those of the given zones. A row without an
+    offset, whose wall time lies within near_s of its ingestion, is evidence by its delay: under the right history rows
+    are never ingested before they are written, and soon after. A negative delay (beyond slack_s) is a violation of 1; a
+    longer one than need be is a violation of its share of near_s, so that a zone too far east, or one without the
+    source's summer time, loses to the one that makes the delays short all year. A row with a stated offset violates
+    every history that has another offset at that wall time by 1, less what the median source matches; an offset of 0 is how feeds of any zone write UTC and says nothing.
 
-    `violations` counts rows, those by 1. A source gets a row if min_near rows are evidence by delay, or if the history that matches most stated offsets leads
-    the next one of another standard time by `significance` standard deviations. Ties go to the preferred name. Sums per source and candidate leave each batch, so a frequent source is never in one task.
+    `violations` counts rows. A source gets a row if min_near rows are evidence by delay, or if its stated offsets match
+    the history more often than those of the others do, by `significance` standard deviations. Ties go to the preferred
+    name. Sums per source and candidate leave each batch, so a frequent source is never in one task.
     """
     spark = rows.sparkSession
     histories = offset_histories(spark)
@@ -225,15 +226,19 @@ def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingest
     slim = evidence.select(F.col(source).alias("s"), own.alias("l"), F.col(offset).cast("double").alias("o"), at.alias("at")).where("o is not null or at is not null")
     parts = slim.mapInPandas(weigh, "s string, soft array<double>, early array<long>, matched array<long>, stated long, near long")
     each = parts.select("s", "stated", "near", F.posexplode(F.arrays_zip("soft", "early", "matched")).alias("i", "x")).groupBy("s", "i").agg(F.sum("x.soft").alias("soft"), F.sum("x.early").alias("early"), F.sum("x.matched").alias("matched"), F.sum("stated").alias("stated"), F.sum("near").alias("near"))
-    ranked = each.select("s", "near", (F.col("near") + F.col("stated")).alias("evidence"), F.struct(F.round(F.col("soft") + F.col("stated") - F.col("matched"), 6).alias("cost"), "i", "matched", (F.col("early") + F.col("stated") - F.col("matched")).alias("violations")).alias("c"))
-    listed = ranked.groupBy("s").agg(F.first("near").alias("near"), F.first("evidence").alias("evidence"), F.array_sort(F.collect_list("c")).alias("all"))  # a row per candidate
-    standard = F.array(*[F.lit(int(x)) for x in table[:, -52:].min(axis=1)]) if len(names) else F.array().cast("array<int>")
-    first = listed.withColumn("one", F.get("all", F.lit(0))).withColumn("own", F.get(standard, F.col("one.i")))
-    rival = F.get(F.filter("all", lambda c: F.get(standard, c["i"]) != F.col("own")), F.lit(0))
-    best = first.select("s", "near", "evidence", "one", F.coalesce(rival["matched"], F.lit(0)).alias("other"))
-    clear = (F.col("near") >= min_near) | (F.col("one.matched") - F.col("other") >= significance * F.sqrt(F.col("one.matched") + F.col("other")))
+    # what an ordinary source matches, by offsets that are not its own, is no evidence for this one
+    each = stage(each)
+    many = F.when(F.col("stated") >= 10, F.col("matched") / F.col("stated"))
+    overall = each.groupBy(F.col("i").alias("i2")).agg(F.when(F.count(many) >= 5, F.percentile_approx(many, 0.5)).otherwise(0.0).alias("rate"))
+    each = each.join(F.broadcast(overall), F.col("i") == F.col("i2"))  # a row per candidate
+    rate = F.col("rate")
+    each = each.withColumn("chance", F.col("stated") * rate)
+    cost = F.round(F.col("soft") + F.col("stated") - F.col("matched") + F.round("chance"), 6)
+    clear = (F.col("matched") - F.col("chance")) / F.sqrt(F.col("chance") + 1)
+    ranked = each.groupBy("s").agg(F.first("near").alias("near"), F.first(F.col("near") + F.col("stated")).alias("evidence"), F.min(F.struct(cost.alias("cost"), "i", clear.alias("clear"), (F.col("early") + F.col("stated") - F.col("matched")).alias("violations"))).alias("one"))
+    best = ranked.where((F.col("near") >= min_near) | (F.col("one.clear") >= significance))
     zone = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("one.i") + 1)
-    return best.where(clear & (F.col("evidence") > 0) & ((F.col("near") >= min_near) | (F.col("one.matched") > 0))).select(F.col("s").alias(source), zone.alias("zone"), F.col("one.violations").alias("violations"), "evidence")
+    return best.select(F.col("s").alias(source), zone.alias("zone"), F.col("one.violations").alias("violations"), "evidence")
 
 
 def published_norm(rows: DataFrame, sources: DataFrame, text: str = "published_date", source: str = "source_id", ingested: str = "fetched_at", out: str = "published_norm", default_zone: str = "UTC", max_sources: int = 100_000) -> DataFrame:

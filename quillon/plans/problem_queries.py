@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.operators.incremental import due_records
+from quillon.operators.incremental import Ledger, taken_over
 from quillon.operators.timestamps import published_norm, source_zones
-from quillon.session import table
+from quillon.session import shared_dir, table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return due_records(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "book_source"))
+    """One run of a ledger that starts from what book_source has taken over."""
+    records = table(spark, sf_dir, "raw_record")
+    ledger = Ledger(spark, f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    ledger.adopt(taken_over(table(spark, sf_dir, "book_source"), records))
+    return ledger.run(records).select("record_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

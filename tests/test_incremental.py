@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from quillon.operators.incremental import Ledger, MerkleTree, due_records, newest_records
+from quillon.operators.incremental import Ledger, MerkleTree, due_records, newest_records, taken_over
 
 RECORD = "record_id bigint, source_id string, external_id string, url string, content_hash string, fetched_at timestamp"
 LISTING = "book_source_id bigint, source_id string, external_id string, url string, raw_record_id bigint"
@@ -74,3 +74,32 @@ def test_runs_survive_a_failure_and_repeat_nothing(spark, tmp_path):
     with pytest.raises(RuntimeError):
         ledger.run(spark.createDataFrame(late, RECORD), fail_before_commit=True)
     assert [r["record_id"] for r in ledger.run(spark.createDataFrame(late, RECORD)).collect()] == [61]
+
+
+def test_a_run_rewrites_only_changed_buckets_and_grows_its_tree(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"), rows_per_bucket=40)
+    records = [(i, "a", f"x{i}", None, f"h{i}", T0) for i in range(400)]
+    assert ledger.run(spark.createDataFrame(records, RECORD)).count() == 400
+    first = ledger.current()
+    assert first["buckets"] == 8 and len(first["state"]) == 8
+    changed = [*records, (1000, "a", "x1", None, "new", T0 + timedelta(1))]
+    assert [r["record_id"] for r in ledger.run(spark.createDataFrame(changed, RECORD)).collect()] == [1000]
+    second = ledger.current()
+    assert sum(first["state"][b] == second["state"][b] for b in first["state"]) == 7 and sum(first["tree"][b] == second["tree"][b] for b in first["tree"]) == 7
+    assert ledger.state(second).count() == 400
+    more = [*changed, *[(2000 + i, "a", f"y{i}", None, "h", T0) for i in range(2500)]]
+    assert ledger.run(spark.createDataFrame(more, RECORD)).count() == 2500 and ledger.current()["depth"] == 2
+    assert ledger.run(spark.createDataFrame(more, RECORD)).count() == 0
+    assert ledger.run(spark.createDataFrame(more[:10], RECORD)).count() == 0 and ledger.state(ledger.current()).count() == 2900
+
+
+def test_a_ledger_that_adopts_listings_finds_what_the_plain_comparison_finds(spark, tmp_path):
+    rnd = random.Random(6)
+    records = [(i, rnd.choice(["a", "b", None]), f"x{rnd.randrange(60)}", None, rnd.choice(["AA", "aa", "bb", None]), T0 + timedelta(hours=rnd.randrange(100))) for i in range(1, 300)]
+    listings = [(i, r[1], r[2], r[3], rnd.choice([None, r[0], 9999])) for i, r in enumerate(rnd.choices(records, k=90))]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    raw = spark.createDataFrame(records, RECORD)
+    ledger.adopt(taken_over(spark.createDataFrame(listings, LISTING), raw))
+    assert sorted(r["record_id"] for r in ledger.run(raw).collect()) == sorted(brute(records, listings))
+    unknown = {r["record_id"] for r in newest_records(raw).where("state is null").collect()}
+    assert {r["record_id"] for r in ledger.run(raw).collect()} == unknown
