@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.canonical import mapped
-from quillon.llm.matching import matched_books, matched_pairs
+from quillon.llm.matching import linked_units, matched_books, units_of
 from quillon.llm.mixing import mixed, text_quality
 from quillon.llm.packing import fill_report, packed
 from quillon.llm.ranking import combined_ranking, loadings, top_of_group
@@ -103,8 +103,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def _raw_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "raw_book").select("raw_id", "source_id", "title", "authors", "isbn13", "isbn10", "publisher")
+
+
 def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return matched_books(table(spark, sf_dir, "raw_book").select("raw_id", "source_id", "title", "authors", "isbn13", "isbn10", "publisher"))
+    return matched_books(_raw_books(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +121,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs with their confidence."""
-    return matched_pairs(*_books(spark, sf_dir), "raw_id")
+    """The linked units of each book with their confidence, each unit (rows that read alike) by its smallest raw_id."""
+    books = _raw_books(spark, sf_dir)
+    members, pairs = matched_books(books)
+    first = members.groupBy("unit").agg(F.min("id").alias("i"))
+    linked = linked_units(members, pairs, units_of(books))
+    named = linked.join(first.select(F.col("unit").alias("a"), F.col("i").alias("ia")), "a").join(first.select(F.col("unit").alias("b"), F.col("i").alias("ib")), "b")
+    return named.select(F.least("ia", "ib").alias("raw_id_a"), F.greatest("ia", "ib").alias("raw_id_b"), F.round("confidence", 4).alias("confidence"))
+
+
+def p4_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with a title: its book and its unit, both by their smallest raw_id."""
+    members, _ = _books(spark, sf_dir)
+    books, first = members.groupBy("book").agg(F.min("id").alias("book_id")), members.groupBy("unit").agg(F.min("id").alias("unit_id"))
+    return members.join(books, "book").join(first, "unit").select(F.col("id").alias("raw_id"), "book_id", "unit_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +183,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(documents, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p1_loadings": p1_loadings, "p2_found": p2_found, "p2_currency": p2_currency, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_books": p4_books, "p5_found": p5_found, "p5_identities": p5_identities, "p7_found": p7_found, "p7_misses": p7_misses, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_packed": p8_packed, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p1_loadings": p1_loadings, "p2_found": p2_found, "p2_currency": p2_currency, "p10_found": p10_found, "p10_profile": p10_profile}
