@@ -184,7 +184,7 @@ def offset_histories(spark: SparkSession, last_year: int = 2027) -> DataFrame:
     return lists.join(names, "offsets").select("zone", "name", "offsets")
 
 
-def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingested: str, candidates: list[str] | None = None, near_s: int = 172800, slack_s: int = 60, min_near: int = 5, significance: float = 3.0) -> DataFrame:
+def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingested: str, candidates: list[str] | None = None, near_s: int = 172800, slack_s: int = 60, min_near: int = 5, significance: float = 5.0, alike: float = 0.01) -> DataFrame:
     """(source, zone, violations, evidence): for each source the offset history that its rows violate least.
 
     All distinct histories of the time zone database are candidates, or those of the given zones. A row without an
@@ -195,8 +195,8 @@ def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingest
     every history that has another offset at that wall time by 1, less what the median source matches; an offset of 0 is how feeds of any zone write UTC and says nothing.
 
     `violations` counts rows. A source gets a row if min_near rows are evidence by delay, or if its stated offsets match
-    the history more often than those of the others do, by `significance` standard deviations. Ties go to the preferred
-    name. Sums per source and candidate leave each batch, so a frequent source is never in one task.
+    the history more often than those of the others do, by `significance` standard deviations. Of histories
+    that differ by less than `alike` of the evidence the one of the preferred name is taken. Sums per source and candidate leave each batch, so a frequent source is never in one task.
     """
     spark = rows.sparkSession
     histories = offset_histories(spark)
@@ -235,7 +235,10 @@ def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingest
     each = each.withColumn("chance", F.col("stated") * rate)
     cost = F.round(F.col("soft") + F.col("stated") - F.col("matched") + F.round("chance"), 6)
     clear = (F.col("matched") - F.col("chance")) / F.sqrt(F.col("chance") + 1)
-    ranked = each.groupBy("s").agg(F.first("near").alias("near"), F.first(F.col("near") + F.col("stated")).alias("evidence"), F.min(F.struct(cost.alias("cost"), "i", clear.alias("clear"), (F.col("early") + F.col("stated") - F.col("matched")).alias("violations"))).alias("one"))
+    scored = each.select("s", "near", (F.col("near") + F.col("stated")).alias("evidence"), cost.alias("cost"), "i", clear.alias("clear"), (F.col("early") + F.col("stated") - F.col("matched")).alias("violations"))
+    least = scored.groupBy(F.col("s").alias("s2")).agg((F.min("cost") + alike * F.first("evidence")).alias("most"))
+    close = scored.join(least, F.col("s").eqNullSafe(F.col("s2"))).where("cost <= most")
+    ranked = close.groupBy("s").agg(F.first("near").alias("near"), F.first("evidence").alias("evidence"), F.min(F.struct("i", "cost", "clear", "violations")).alias("one"))
     best = ranked.where((F.col("near") >= min_near) | (F.col("one.clear") >= significance))
     zone = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("one.i") + 1)
     return best.select(F.col("s").alias(source), zone.alias("zone"), F.col("one.violations").alias("violations"), "evidence")
