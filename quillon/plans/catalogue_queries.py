@@ -178,20 +178,15 @@ def first_of_content(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("source_id", "content_hash").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT record_id FROM raw_record r WHERE record_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM raw_record s WHERE s.record_id % 2 = 0 AND s.source_id = r.source_id AND lower(s.content_hash) = lower(r.content_hash)) QUALIFY row_number() OVER (PARTITION BY source_id, lower(content_hash) ORDER BY record_id) = 1")
+@query("WITH m AS (SELECT median(fetched_at) AS t FROM raw_record), n AS (SELECT * FROM raw_record, m WHERE fetched_at > t), o AS (SELECT * FROM raw_record, m WHERE fetched_at <= t) SELECT record_id FROM n r WHERE NOT EXISTS (SELECT 1 FROM o s WHERE s.source_id = r.source_id AND lower(s.content_hash) = lower(r.content_hash)) QUALIFY row_number() OVER (PARTITION BY source_id, lower(content_hash) ORDER BY record_id) = 1")
 def unseen_content(spark: SparkSession, sf: str) -> DataFrame:
-    """Content of one batch (odd ids) that an earlier batch (even ids) has not brought, once each."""
-    rows = table(spark, sf, "raw_record").select("record_id", "source_id", F.lower("content_hash").alias("content_hash"))
-    new, seen = rows.where("record_id % 2 = 1"), rows.where("record_id % 2 = 0")
+    """Content of the later half of all fetches that the earlier half has not brought, once each."""
+    rows = table(spark, sf, "raw_record").select("record_id", "source_id", F.lower("content_hash").alias("content_hash"), F.unix_micros("fetched_at").alias("at"))
+    middle = F.lit(rows.agg(F.percentile("at", 0.5)).first()[0])
+    new, seen = rows.where(F.col("at") > middle), rows.where(F.col("at") <= middle)
     return merge.unseen(new, seen, ["source_id", "content_hash"], ["record_id"]).select("record_id")
 
 
-@query("SELECT count(*) AS reports, count(DISTINCT (source_id, title, isbn13, published_date, publisher, page_count, description, fetched_at)) AS contents FROM raw_book WHERE raw_id < 0")
-def empty_contents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "raw_book").where("raw_id < 0")
-    return rows.agg(F.count("*").alias("reports"), F.count_distinct(normalize.content_hash(rows)).alias("contents"))
-
-
 @query("SELECT count(*) AS reports, count(DISTINCT r) AS contents FROM (SELECT * EXCLUDE (raw, raw_id, fetched_at) FROM raw_book) r")
 def report_contents(spark: SparkSession, sf: str) -> DataFrame:
     """All reports and their different contents."""
@@ -226,12 +221,13 @@ def first_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return merge.first_per_key(rows, ["dedupe_key", "source_id"], ["norm_id"]).select("dedupe_key", "source_id", "norm_id", "url")
 
 
-@query("""WITH o AS (SELECT DISTINCT lead_id, score, status FROM lead_row WHERE lead_id % 3 <> 0), n AS (SELECT DISTINCT lead_id, score + 1 AS score, 'new' AS status FROM lead_row WHERE lead_id % 2 = 0)
+@query("""WITH o AS (SELECT DISTINCT lead_id, score, status FROM lead_row WHERE tier <> 'A'), n AS (SELECT DISTINCT lead_id, score + 1 AS score, 'new' AS status FROM lead_row WHERE tier IN ('A', 'B'))
 SELECT coalesce(n.lead_id, o.lead_id) AS lead_id, CASE WHEN n.lead_id IS NOT NULL THEN n.score ELSE o.score END AS score, coalesce(o.status, n.status) AS status FROM o FULL JOIN n ON o.lead_id = n.lead_id""")
 def lead_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lead_row").select("lead_id", "score", "status").distinct()
-    new = rows.where("lead_id % 2 = 0").select("lead_id", (F.col("score") + 1).alias("score"), F.lit("new").alias("status"))
-    return merge.upsert(rows.where("lead_id % 3 <> 0"), new, ["lead_id"], ["score"], ["status"])
+    """All leads: those of tier A are new, those of B are scored anew, the others stay."""
+    rows = table(spark, sf, "lead_row").select("lead_id", "score", "status", "tier").distinct()
+    new = rows.where("tier in ('A', 'B')").select("lead_id", (F.col("score") + 1).alias("score"), F.lit("new").alias("status"))
+    return merge.upsert(rows.where("tier <> 'A'").select("lead_id", "score", "status"), new, ["lead_id"], ["score"], ["status"])
 
 
 # --- aggregates and joins ---------------------------------------------------------------------------------------
@@ -288,21 +284,32 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("leads"), F.count_if(some).alias("with_email"), F.count_if(some | (F.col("author_website") != "") | (F.col("author_socials") != "")).alias("reachable"))
 
 
-@query("SELECT DISTINCT lead_id, score FROM lead_row WHERE score >= 50 AND tier IN ('A', 'B') ORDER BY score DESC, lead_id LIMIT 50")
-def top_leads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lead_row").where((F.col("score") >= 50) & F.col("tier").isin("A", "B")).select("lead_id", "score").distinct()
-    return rows.orderBy(F.desc("score"), "lead_id").limit(50)
+_LISTED = "WITH s AS (SELECT DISTINCT lower(author_emails) AS e FROM lead_row WHERE author_emails <> '' AND status = 'contacted'), d AS (SELECT DISTINCT regexp_extract(lower(author_emails), '@(.*)$', 1) AS e FROM lead_row WHERE author_emails <> '' AND tier = 'A'), a AS (SELECT DISTINCT lower(trim(author_name)) AS e FROM lead_row WHERE language = 'fr')"
+_REASON = "CASE WHEN lower(author_emails) IN (SELECT e FROM s) THEN 'email' WHEN regexp_extract(lower(author_emails), '@(.*)$', 1) IN (SELECT e FROM d) THEN 'domain' WHEN lower(trim(author_name)) IN (SELECT e FROM a) THEN 'author_name' END"
 
 
-@query("""WITH s AS (SELECT DISTINCT lower(author_emails) AS e FROM lead_row WHERE author_emails <> '' AND lead_id % 7 = 0), d AS (SELECT DISTINCT regexp_extract(lower(author_emails), '@(.*)$', 1) AS e FROM lead_row WHERE author_emails <> '' AND lead_id % 31 = 0), a AS (SELECT DISTINCT lower(trim(author_name)) AS e FROM lead_row WHERE lead_id % 11 = 0)
-SELECT lead_id, CASE WHEN lower(author_emails) IN (SELECT e FROM s) THEN 'email' WHEN regexp_extract(lower(author_emails), '@(.*)$', 1) IN (SELECT e FROM d) THEN 'domain' WHEN lower(trim(author_name)) IN (SELECT e FROM a) THEN 'author_name' END AS suppression_reason FROM (SELECT DISTINCT lead_id, author_emails, author_name FROM lead_row)""")
-def suppression(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lead_row").select("lead_id", "author_emails", "author_name").distinct()
+def _suppression_list(rows: DataFrame) -> DataFrame:
+    """Addresses of contacted leads, domains of those of tier A, names of authors of French books."""
     some = rows.where("author_emails <> ''")
-    lists = some.where("lead_id % 7 = 0").select(F.lit("email").alias("kind"), F.col("author_emails").alias("value"))
-    lists = lists.unionByName(some.where("lead_id % 31 = 0").select(F.lit("domain").alias("kind"), F.concat(F.lit("@"), F.regexp_extract("author_emails", "@(.*)$", 1)).alias("value")))
-    lists = lists.unionByName(rows.where("lead_id % 11 = 0").select(F.lit("author_name").alias("kind"), F.col("author_name").alias("value")))
-    return leads.suppressed(rows, lists, ["author_emails"], "author_name").select("lead_id", "suppression_reason")
+    lists = some.where("status = 'contacted'").select(F.lit("email").alias("kind"), F.col("author_emails").alias("value"))
+    lists = lists.unionByName(some.where("tier = 'A'").select(F.lit("domain").alias("kind"), F.concat(F.lit("@"), F.regexp_extract("author_emails", "@(.*)$", 1)).alias("value")))
+    return lists.unionByName(rows.where("language = 'fr'").select(F.lit("author_name").alias("kind"), F.col("author_name").alias("value")))
+
+
+@query(f"{_LISTED} SELECT lead_id, {_REASON} AS suppression_reason FROM (SELECT DISTINCT lead_id, author_emails, author_name FROM lead_row)")
+def suppression(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lead_row").select("lead_id", "author_emails", "author_name", "status", "tier", "language")
+    distinct = rows.select("lead_id", "author_emails", "author_name").distinct()
+    return leads.suppressed(distinct, _suppression_list(rows), ["author_emails"], "author_name").select("lead_id", "suppression_reason")
+
+
+@query(f"{_LISTED} SELECT DISTINCT lead_id, score FROM lead_row WHERE score >= 50 AND tier IN ('A', 'B', 'C') AND ({_REASON}) IS NULL ORDER BY score DESC, lead_id LIMIT 50")
+def top_leads(spark: SparkSession, sf: str) -> DataFrame:
+    """The best fifty leads, counted after suppression."""
+    rows = table(spark, sf, "lead_row").select("lead_id", "score", "author_emails", "author_name", "status", "tier", "language")
+    asked = rows.where((F.col("score") >= 50) & F.col("tier").isin("A", "B", "C"))
+    left = leads.suppressed(asked, _suppression_list(rows), ["author_emails"], "author_name").where("suppression_reason is null")
+    return left.select("lead_id", "score").distinct().orderBy(F.desc("score"), "lead_id").limit(50)
 
 
 _SIGNALS = """

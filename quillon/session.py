@@ -37,10 +37,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (as in tests) a temporary one of this session."""
+    """The folder all executors share: spark.checkpoint.dir, else (as in tests) a temporary one of this session, which
+    only a local master may use."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = _OWN.setdefault(context.applicationId, os.path.join(tempfile.gettempdir(), f"quillon-{context.applicationId}"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)

@@ -142,6 +142,23 @@ def find_book(objects: list[dict]) -> dict | None:
     return None
 
 
+def find_books(objects: list[dict]) -> list[dict]:
+    """Every object of type Book, and every bookish one with an ISBN or an author."""
+    return [x for x in objects if "book" in _types(x) or _types(x) & BOOKISH and (x.get("isbn") or x.get("gtin13") or x.get("author"))]
+
+
+def site_identity(objects: list[dict]) -> dict:
+    """name and url of the first object that says whose site this is: an organisation, a website or a shop, else the
+    publisher an object names."""
+    for x in objects:
+        if _types(x) & {"organization", "website", "bookstore", "store", "corporation", "library"} and _one(x.get("name")):
+            return {"name": _one(x.get("name")), "url": _one(x.get("url"))}
+    for x in objects:
+        if isinstance(x.get("publisher"), dict) and _one(x["publisher"]):
+            return {"name": _one(x["publisher"]), "url": _one(x["publisher"].get("url"))}
+    return {}
+
+
 def _names(x) -> list[str]:
     if isinstance(x, list):
         return [n for v in x for n in _names(v)]
@@ -187,22 +204,54 @@ def from_json_ld(book: dict) -> dict:
     }
 
 
+def microdata_items(root: Node) -> list[dict[str, list[str]]]:
+    """The itemprop values of every itemscope of a page, each with those of nested plain elements only; values outside
+    any scope make one item of their own."""
+    items: dict[int, dict[str, list[str]]] = {}
+    kinds: dict[int, str] = {}
+    for n in root.walk():
+        if "itemscope" in n.attrs:
+            items.setdefault(id(n), {})
+            kinds[id(n)] = n.attrs.get("itemtype", "")
+        if k := n.attrs.get("itemprop"):
+            scope = n.parent
+            while scope is not None and "itemscope" not in scope.attrs:
+                scope = scope.parent
+            items.setdefault(id(scope) if scope is not None else 0, {}).setdefault(k.lower(), []).append((n.attrs.get("content") or n.text()).strip())
+    return [v | {"@type": [kinds.get(k, "")]} for k, v in items.items() if v]
+
+
+def from_microdata(root: Node) -> list[dict]:
+    """The items that have a name and an ISBN or an author, as books."""
+    out = []
+    for item in microdata_items(root):
+        get = lambda k: (item.get(k) or [None])[0]  # noqa: B023, E731
+        if get("name") and (item.get("isbn") or item.get("author")):
+            isbn13, isbn10 = split_by_length(item.get("isbn", []))
+            out.append({"title": get("name"), "authors": item.get("author", []), "isbn13": isbn13, "isbn10": isbn10, "published_date": get("datepublished"), "publisher": get("publisher"), "description": get("description"), "page_count": _number(get("numberofpages"), int), "language": get("inlanguage")})
+    return out
+
+
 def from_meta(root: Node) -> dict:
-    """Open Graph, citation and microdata values; kept if the page says it is a book, or has an ISBN or an author."""
+    """Open Graph and citation values, kept if the page says it is a book, or has an ISBN or an author; else its first
+    microdata book."""
     meta: dict[str, list[str]] = {}
     for n in root.walk():
         if n.tag == "meta" and (k := n.attrs.get("property") or n.attrs.get("name")) and n.attrs.get("content"):
             meta.setdefault(k.lower(), []).append(n.attrs["content"].strip())
-        if k := n.attrs.get("itemprop"):
-            meta.setdefault("item:" + k.lower(), []).append((n.attrs.get("content") or n.text()).strip())
     get = lambda *ks: next((meta[k][0] for k in ks if meta.get(k)), None)
-    authors = meta.get("book:author") or meta.get("citation_author") or meta.get("item:author") or []
-    isbns = meta.get("book:isbn", []) + meta.get("citation_isbn", []) + meta.get("item:isbn", [])
-    title = get("og:title", "citation_title", "item:name")
+    authors = meta.get("book:author") or meta.get("citation_author") or []
+    isbns = meta.get("book:isbn", []) + meta.get("citation_isbn", [])
+    title = get("og:title", "citation_title")
+    items = from_microdata(root)
     if not title or not (authors or isbns or "book" in (get("og:type") or "")):
-        return {}
+        return items[0] if items else {}
     isbn13, isbn10 = split_by_length(isbns)
-    return {"title": title, "authors": authors, "isbn13": isbn13, "isbn10": isbn10, "published_date": get("book:release_date", "citation_publication_date", "item:datepublished"), "publisher": get("citation_publisher", "item:publisher"), "description": get("og:description"), "cover_url": get("og:image"), "categories": meta.get("book:tag", [])}
+    found = {"title": title, "authors": authors, "isbn13": isbn13, "isbn10": isbn10, "published_date": get("book:release_date", "citation_publication_date"), "publisher": get("citation_publisher"), "description": get("og:description"), "cover_url": get("og:image"), "categories": meta.get("book:tag", [])}
+    for k, v in (items[0] if items else {}).items():  # microdata fill what the tags leave open
+        if found.get(k) in (None, "", []):
+            found[k] = v
+    return found
 
 
 def byline(text: str) -> list[str]:
@@ -215,19 +264,61 @@ def byline(text: str) -> list[str]:
     return [x.strip() for x in out if len(x.strip()) > 1]
 
 
+#: Named transforms of recipe fields, each on one text.
+TRANSFORMS = {
+    "strip": str.strip,
+    "lower": str.lower,
+    "upper": str.upper,
+    "title": str.title,
+    "clean": lambda v: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", v)).strip(),
+    "int": lambda v: _number(v, int),
+    "float": lambda v: _number(v, float),
+    "isbn": lambda v: (lambda d: d if len(d) in (10, 13) else None)(re.sub(r"[^0-9Xx]", "", v).upper()),
+}
+
+
 class Recipe:
     """A declarative site recipe: constants, selectors per field, and whether crawling is permitted.
 
-    fields maps a field to {"css", "attr", "many", "index", "regex", "default", "const", "jsonld", "join", "byline"}."""
+    fields maps a field to {"css", "attr", "many", "index", "regex", "default", "const", "jsonld", "join", "byline",
+    "transforms"}. links selects the detail links of a listing page, items the blocks of one (then links is looked for
+    within each, and item_fields are read there); url_contains is part of every detail address."""
 
-    def __init__(self, source_id: str, fields: dict[str, dict], permitted: bool = True, links: str | None = None, url_contains: str = ""):
-        unknown = [k for f in fields.values() for k in f if k not in {"css", "attr", "many", "index", "regex", "default", "const", "jsonld", "join", "byline"}]
+    def __init__(self, source_id: str, fields: dict[str, dict], permitted: bool = True, links: str | None = None, url_contains: str = "", items: str | None = None, item_fields: dict[str, dict] | None = None):
+        item_fields = item_fields or {}
+        known = {"css", "attr", "many", "index", "regex", "default", "const", "jsonld", "join", "byline", "transforms"}
+        unknown = [k for f in [*fields.values(), *item_fields.values()] for k in f if k not in known]
         if unknown:
             raise ValueError(f"unknown settings: {unknown}")
-        for name, f in fields.items():
+        for name, f in [*fields.items(), *item_fields.items()]:
             if not {"css", "const", "jsonld", "default"} & set(f):
                 raise ValueError(f"field {name!r} has no source")
         self.source_id, self.fields, self.permitted, self.links, self.url_contains = source_id, fields, permitted, links, url_contains
+        self.items, self.item_fields = items, item_fields
+
+    @staticmethod
+    def load(text: str) -> "Recipe":
+        """A recipe written in YAML (or JSON, which is YAML)."""
+        import yaml
+
+        data = yaml.safe_load(text)
+        if not isinstance(data, dict) or not data.get("source_id"):
+            raise ValueError("a recipe needs a source_id")
+        return Recipe(**{"fields": {}} | data)
+
+    def listed(self, url: str, html: str) -> list[tuple[str, dict]]:
+        """(address, fields) of the detail pages a listing names, each once."""
+        root, out = Tree(html).root, {}
+        blocks = select(root, self.items) if self.items else [root]
+        for block in blocks:
+            for n in select(block, self.links or "a[href]"):
+                link = re.sub("#.*$", "", urljoin(url, n.attrs.get("href", "")))
+                if link.startswith("http") and self.url_contains in link and link != url:
+                    read = {k: self.value(spec, block, url, {}) for k, spec in self.item_fields.items()} if self.items else {}
+                    out.setdefault(link, {k: v for k, v in read.items() if v not in (None, "", [])})
+                    if self.items:
+                        break
+        return list(out.items())
 
     def value(self, spec: dict, root: Node, url: str, ld: dict):
         """A constant goes before structured data, that before the selector; then regex, join, default."""
@@ -249,6 +340,8 @@ class Recipe:
             values = [(h[1] if h.re.groups else h[0]) for h in hits if h]
         if spec.get("byline"):
             values = [n for v in values for n in byline(v)]
+        for name in spec.get("transforms", ()):
+            values = [y for y in (TRANSFORMS[name](v) for v in values) if y not in (None, "")]
         values = [v for v in values if v not in (None, "")]
         if "join" in spec:
             return spec["join"].join(values) or spec.get("default")
@@ -257,10 +350,13 @@ class Recipe:
         i = spec.get("index", 0)
         return values[i] if -len(values) <= i < len(values) else spec.get("default")
 
-    def book(self, url: str, html: str) -> dict:
+    def book(self, url: str, html: str, given: dict | None = None) -> dict:
+        """The book of a detail page: fields read in the listing (given), structured data where those are absent, then
+        the recipe's own fields over both."""
         root = Tree(html).root
         ld = find_book(json_ld(html)) or {}
         out = from_json_ld(ld) if ld else from_meta(root)
+        out = out | {k: v for k, v in (given or {}).items() if v not in (None, "", [])}
         for name, spec in self.fields.items():
             v = self.value(spec, root, url, ld)
             if v not in (None, "", []):
@@ -268,30 +364,83 @@ class Recipe:
         return out | {"url": url}
 
 
+def _row(b: dict) -> dict:
+    if isinstance(b.get("authors"), str):
+        b["authors"] = byline(b["authors"])
+    b["page_count"], b["ratings_count"] = _number(b.get("page_count"), int), _number(b.get("ratings_count"), int)
+    b["average_rating"] = _number(b.get("average_rating"), float)
+    return b
+
+
+_BOOK_COLUMNS = [x.split()[0] for x in BOOK.split(", ")]
+
+
+def _book_frame(rows: list[dict], more: tuple[str, ...] = ()) -> pd.DataFrame:
+    frame = pd.DataFrame([[b.get(c) for c in (*more, *_BOOK_COLUMNS)] for b in rows], columns=[*more, *_BOOK_COLUMNS])
+    return frame.astype({c: "Int64" for c in ("page_count", "ratings_count")})
+
+
 def books_of_pages(pages: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     """A raw book for each page that yields a title; each URL once. A recipe without permission yields nothing."""
     recipe = recipe or Recipe("page", {})
-    columns = [x.split()[0] for x in BOOK.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            rows = []
-            for url, html in zip(df["url"], df["html"]):
-                b = recipe.book(url or "", html or "")
-                if not b.get("title"):
-                    continue
-                if isinstance(b.get("authors"), str):
-                    b["authors"] = byline(b["authors"])
-                b["page_count"], b["ratings_count"] = _number(b.get("page_count"), int), _number(b.get("ratings_count"), int)
-                b["average_rating"] = _number(b.get("average_rating"), float)
-                rows.append([b.get(c) for c in columns])
-            frame = pd.DataFrame(rows, columns=columns)
-            yield frame.astype({c: "Int64" for c in ("page_count", "ratings_count")})
+            books = [recipe.book(url or "", html or "") for url, html in zip(df["url"], df["html"])]
+            yield _book_frame([_row(b) for b in books if b.get("title")])
 
     once = pages.where(F.lit(recipe.permitted)).select("url", "html").dropDuplicates(["url"])
     return once.mapInPandas(parse, BOOK)
 
 
+def structured_books(pages: DataFrame) -> DataFrame:
+    """(page, how, site, BOOK columns): every book a page marks up, from its scripts, else its tags and items, with the
+    name of the site; each page once."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for url, html in zip(df["url"], df["html"]):
+                objects, root = json_ld(html or ""), Tree(html or "").root
+                found = [("json-ld", from_json_ld(x) | {"url": _one(x.get("url")) or url}) for x in find_books(objects)]
+                if not found:
+                    items = from_microdata(root)
+                    found = [("microdata", b | {"url": url}) for b in items] if len(items) > 1 else [("meta", b | {"url": url}) for b in [from_meta(root)] if b]
+                site = site_identity(objects).get("name")
+                rows += [_row(b) | {"page": url, "how": how, "site": site} for how, b in found if b.get("title")]
+            yield _book_frame(rows, ("page", "how", "site"))
+
+    return pages.select("url", "html").dropDuplicates(["url"]).mapInPandas(parse, "page string, how string, site string, " + BOOK)
+
+
+def crawl_recipe(pages: DataFrame, recipe: Recipe, listings: DataFrame | None = None) -> DataFrame:
+    """Raw books of landed pages by a recipe: listing pages (url; all pages if not given) name detail pages and some of
+    their fields, which are joined with the landed details. An address counts once, with the fields of the listing of
+    the smallest address; one that was not landed yields nothing."""
+    at = pages.where(F.lit(recipe.permitted)).select("url", "html").dropDuplicates(["url"])
+    lists = at if listings is None else at.join(listings.select("url").distinct(), "url", "left_semi")
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = [(url, link, json.dumps(fields)) for url, html in zip(df["url"], df["html"]) for link, fields in recipe.listed(url or "", html or "")]
+            yield pd.DataFrame(rows, columns=["listing", "link", "given"])
+
+    found = lists.mapInPandas(links, "listing string, link string, given string")
+    once = found.groupBy("link").agg(F.min_by("given", "listing").alias("given"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            books = [recipe.book(url, html or "", json.loads(given)) for url, html, given in zip(df["url"], df["html"], df["given"])]
+            yield _book_frame([_row(b) for b in books if b.get("title")])
+
+    return once.join(at, F.col("link") == F.col("url")).select("url", "html", "given").mapInPandas(parse, BOOK)
+
+
+def listing_addresses(template: str, start: int = 1, step: int = 1, most: int = 1) -> list[str]:
+    """The addresses of a numbered listing: {page} in the template runs from start in steps, most of them."""
+    return [template.replace("{page}", str(start + i * step)) for i in range(most)] if "{page}" in template else [template]
+
+
 def links_of_pages(pages: DataFrame, selector: str = "a[href]") -> DataFrame:
     """(url, link, text): the links of each page, absolute and without fragments, each once, the page itself left out."""
 
@@ -310,13 +459,17 @@ def links_of_pages(pages: DataFrame, selector: str = "a[href]") -> DataFrame:
     return pages.select("url", "html").mapInPandas(parse, "url string, link string, text string")
 
 
+#: What links to the next page say, in several languages.
+_NEXT = "next|next page|older|more|nächste|nächste seite|weiter|suivant|suivante|page suivante|siguiente|página siguiente|successivo|successiva|avanti|próxima|próximo|volgende|volgende pagina|nästa|næste|neste|następna|další|следующая|далее|次へ|次のページ|下一页|下一頁|다음|›|»|→|>"
+
+
 def next_pages(pages: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     """(url, next_url): rel=next, else a link that says next, else the page number plus one if that link is there; on
     the same host unless by rel=next, never a visited page."""
     links = links_of_pages(pages)
     rel = links_of_pages(pages, "link[rel~=next], a[rel~=next]").select("url", "link", F.lit(0).alias("rank"))
     same = F.try_parse_url("link", F.lit("HOST")) == F.try_parse_url("url", F.lit("HOST"))
-    says = links.where(same & F.lower(F.trim("text")).rlike(r"^(?:next|next page|older|more|›|»|→|>)( [›»→>])?$")).select("url", "link", F.lit(1).alias("rank"))
+    says = links.where(same & F.lower(F.trim("text")).rlike(rf"^(?:{_NEXT})( [›»→>])?$")).select("url", "link", F.lit(1).alias("rank"))
     page = lambda c: F.coalesce(F.regexp_extract(c, r"[?&/](?:page|p)[=/](\d+)", 1).try_cast("int"), F.lit(1))
     numbered = links.where(same & (page("link") == page("url") + 1) & F.col("link").rlike(r"[?&/](?:page|p)[=/]\d+")).select("url", "link", F.lit(2).alias("rank"))
     every = rel.unionByName(says).unionByName(numbered)
@@ -324,11 +477,11 @@ def next_pages(pages: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     return every.join(seen.distinct(), "link", "left_anti").groupBy("url").agg(F.min_by("link", F.struct("rank", "link")).alias("next_url"))
 
 
-def sitemap_urls(xml: Column, contains: str = "", most: int = 1_000_000) -> Column:
+def sitemap_urls(xml: Column, contains: str = "") -> Column:
     """The addresses of a sitemap that contain a text; nested sitemaps are always kept."""
     found = F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
     plain = F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return F.slice(F.filter(plain, lambda u: F.contains(u, F.lit(contains)) | F.endswith(u, F.lit(".xml")) | F.endswith(u, F.lit(".xml.gz"))), 1, most)
+    return F.filter(plain, lambda u: F.contains(u, F.lit(contains)) | F.endswith(u, F.lit(".xml")) | F.endswith(u, F.lit(".xml.gz")))
 
 
 def crawl_sitemap(sitemaps: DataFrame, contains: str = "") -> DataFrame:
@@ -349,9 +502,10 @@ def classify(text: Column, rules: list[tuple[str, str, float]], otherwise: tuple
 
 
 def statistics(text: Column) -> Column:
-    """struct of the reader statistics a page states: ratings, reviews, want_to_read, currently_reading, editions."""
+    """struct of the reader statistics a page states: ratings, reviews, voters, views, want_to_read, currently_reading,
+    editions."""
     of = lambda p: F.replace(F.regexp_extract(F.lower(text), p, 1), F.lit(","), F.lit("")).try_cast("bigint")
-    return F.struct(of(r"([\d,]+) ratings?").alias("ratings"), of(r"([\d,]+) reviews?").alias("reviews"), of(r"([\d,]+) (?:people )?want to read").alias("want_to_read"), of(r"([\d,]+) (?:people )?(?:are )?currently reading").alias("currently_reading"), of(r"([\d,]+) editions?").alias("editions"))
+    return F.struct(of(r"([\d,]+) ratings?").alias("ratings"), of(r"([\d,]+) reviews?").alias("reviews"), of(r"([\d,]+) (?:voters?|votes?|people voted)").alias("voters"), of(r"([\d,]+) views?").alias("views"), of(r"([\d,]+) (?:people )?want to read").alias("want_to_read"), of(r"([\d,]+) (?:people )?(?:are )?currently reading").alias("currently_reading"), of(r"([\d,]+) editions?").alias("editions"))
 
 
 def contacts_of_pages(pages: DataFrame, most: int = 5) -> DataFrame:
@@ -410,7 +564,8 @@ def community_reviews(pages: DataFrame, most: int = 5, least: int = 60, longest:
             rows = []
             for url, html in zip(df["url"], df["html"]):
                 blocks = [n for n in Tree(html or "").root.walk() if "review" in (n.attrs.get("class", "") + " " + n.attrs.get("itemprop", "")).lower()]
-                inner = [n for n in blocks if not any(m is not n and m in blocks for m in n.walk())]
+                known = set(map(id, blocks))
+                inner = [n for n in blocks if not any(m is not n and id(m) in known for m in n.walk())]
                 texts: dict[str, str] = {}
                 for t in (n.text() for n in inner):
                     if least <= len(t) <= longest:
@@ -455,13 +610,14 @@ def card_book(card: Node, url: str) -> tuple[dict | None, str]:
     if (m := re.fullmatch(r"(.{2,200}?)\s+[Bb]y\s+(.{3,80})", title)) and all(map(looks_like_a_person, byline(m[2]))):
         title, authors = m[1], byline(m[2])
     for n in card.walk():
+        if not authors and "author" in n.attrs.get("class", "").lower():
+            authors = byline(n.text())
+    for n in card.walk() if not authors else ():
         own = n.text()
-        if "author" in n.attrs.get("class", "").lower() and own:
-            authors = authors or byline(own)
-        elif len(own) < 120 and (m := _BY.search(own)) and not authors:
+        if len(own) < 120 and (m := _BY.search(own)) and not authors:
             authors = [a for a in byline(m[1]) if looks_like_a_person(a)]
     text = card.text()
-    isbn13, isbn10 = split_by_length(re.findall(r"97[89][\d -]{10,14}\d", text))
+    isbn13, isbn10 = split_by_length(re.findall(r"97[89][\d -]{9,13}\d", text))
     price = re.search(r"[$€£]\s?\d+(?:[.,]\d{2})?", text)
     if not (authors or isbn13 or price):
         return None, "neither author nor ISBN nor price"
