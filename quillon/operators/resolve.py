@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +90,58 @@ def book_components(rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     return rows.select(F.col(id_col).alias("id")).join(labels, F.concat(F.lit("r"), F.col("id").cast("string")) == F.col("node"), "left").select("id", F.coalesce("root", F.concat(F.lit("r"), F.col("id").cast("string"))).alias("component"))
 
 
+class TitleIndex:
+    """The titles of one block with an exact search for those of an indel ratio of at least the threshold.
+
+    Titles of lengths a and b that reach ratio r differ by at most d = (1 - r / 100) * (a + b) insertions and deletions,
+    each of which breaks at most three trigrams of the padded title. Of the title's rarest 3 * d + 1 trigrams one is
+    therefore in every title searched for, so only the lists of those are read."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.titles: list[str] = []
+        self.books: list[list[int]] = []
+        self.sets: list[set[str]] = []
+        self.lists: dict[str, list[int]] = {}
+        self.known: set[tuple[str, int]] = set()
+        self.of_title: dict[str, int] = {}
+
+    @staticmethod
+    def grams(title: str) -> list[str]:
+        padded = f"\u0002\u0002{title}\u0003\u0003"
+        return list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
+
+    def add(self, title: str, book: int) -> None:
+        if (title, book) in self.known:
+            return
+        self.known.add((title, book))
+        if title in self.of_title:
+            self.books[self.of_title[title]].append(book)
+            return
+        n = self.of_title[title] = len(self.titles)
+        self.titles.append(title)
+        self.books.append([book])
+        grams = self.grams(title)
+        self.sets.append(set(grams))
+        for g in grams:
+            self.lists.setdefault(g, []).append(n)
+
+    def near(self, title: str) -> list[int]:
+        """The books of close titles, in order of arrival."""
+        r, n = self.threshold / 100, len(title)
+        longest = n * (2 - r) / r if r else float("inf")
+        budget = int((1 - r) * (n + longest) + 1e-9)
+        grams = self.grams(title)
+        rarest = sorted(grams, key=lambda g: (len(self.lists.get(g, ())), g))[: 3 * budget + 1]
+        own, close = set(grams), []
+        for k in {k for g in rarest for k in self.lists.get(g, ())}:
+            m = len(self.titles[k])
+            differ = int((1 - r) * (n + m) + 1e-9)
+            if abs(n - m) <= differ and len(own - self.sets[k]) <= 3 * differ and indel_ratio(title, self.titles[k]) >= self.threshold:
+                close += self.books[k]
+        return sorted(close)
+
+
 class BookShelf:
     """The books of one component, in arrival order: a report goes to the book of its ISBN, else of its key, else to
     the first book of any author of its block whose title is close enough and whose ISBN does not contradict."""
@@ -101,23 +151,15 @@ class BookShelf:
         self.books: list[dict] = []
         self.by_isbn: dict[str, int] = {}
         self.by_key: dict[str, int] = {}
-        self.by_block: dict[str, list[int]] = {}
+        self.by_block: dict[str, TitleIndex] = {}
 
     def place(self, title: str, isbn: str | None, key: str, block: str | None, blocks: list[str]) -> int:
         at = self.by_isbn.get(isbn) if isbn else None
         if at is None:
             at = self.by_key.get(key)
         if at is None and block:
-            for i in sorted(set(self.by_block.get(block, []))):
-                book = self.books[i]
-                if isbn and book["isbn"] and isbn != book["isbn"]:
-                    continue
-                a, b = title, book["title"]
-                # cheap and lossless: the counts of letters bound the common subsequence
-                common = sum((Counter(a) & Counter(b)).values())
-                if 200.0 * common >= self.threshold * (len(a) + len(b)) and indel_ratio(a, b) >= self.threshold:
-                    at = i
-                    break
+            near = self.by_block[block].near(title) if block in self.by_block else []
+            at = next((i for i in near if not (isbn and self.books[i]["isbn"] and self.books[i]["isbn"] != isbn)), None)
         if at is None:
             at = len(self.books)
             self.books.append({"title": title, "isbn": isbn})
@@ -129,7 +171,7 @@ class BookShelf:
         if book["isbn"]:
             self.by_isbn.setdefault(book["isbn"], at)
         for b in blocks:
-            self.by_block.setdefault(b, []).append(at)
+            self.by_block.setdefault(b, TitleIndex(self.threshold)).add(book["title"], at)
         return at
 
 
