@@ -76,7 +76,11 @@ def normalize_person(x: Column) -> Column:
 
 def person_block_key(x: Column) -> Column:
     """Family name and first initial, for blocking; a single name is its own key, '' if nothing is left."""
-    n = normalize_person(x)
+    return block_key(normalize_person(x))
+
+
+def block_key(n: Column) -> Column:
+    """The block of an already folded name."""
     last = F.regexp_extract(n, r"([^ ]+)$", 1)
     return F.when(F.instr(n, " ") > 0, F.concat(last, F.lit(":"), F.substring(n, 1, 1))).otherwise(n)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.dates import guarded, parse_date
 from quillon.functions.isbn import repaired
-from quillon.functions.text import clean_text, normalize_person, normalize_title, null_if_empty, person_block_key
+from quillon.functions.text import block_key, clean_text, normalize_person, normalize_title, null_if_empty, person_block_key
 from quillon.session import held
 
 #: Greatest lengths of stored fields.
@@ -21,27 +21,38 @@ def capped(x: Column, n: int) -> Column:
 def normalize_author(a: Column, position: Column) -> Column:
     """The normalised struct of a raw author struct; null if the name has fewer than two characters or folds to nothing.
     A missing website falls back to the author's page at the source."""
-    name = clean_text(a["name"])
-    folded = normalize_person(name)
-    made = F.struct(
-        F.substring(name, 1, CAPS["name"]).alias("display_name"),
-        F.substring(folded, 1, CAPS["name"]).alias("normalized_name"),
-        F.substring(person_block_key(name), 1, CAPS["key"]).alias("dedupe_key"),
-        F.coalesce(null_if_empty(a["role"]), F.lit("author")).alias("role"),
-        position.cast("int").alias("position"),
-        clean_text(a["bio"]).alias("bio"),
-        F.coalesce(null_if_empty(a["website"]), null_if_empty(a["url"])).alias("website"),
-        null_if_empty(F.lower(a["email"])).alias("email"),
-        a["url"].alias("source_url"),
-    )
-    return F.when((F.length(name) >= 2) & (folded != ""), made)
+    return F.get(_normalized(F.array(a), lambda _: position), F.lit(0))
+
+
+def _normalized(authors: Column, position) -> Column:
+    """An array of normalised structs; each step is a transform of its own, so that no chain of replacements runs twice."""
+    named = F.transform(authors, lambda a: F.struct(a.alias("a"), clean_text(a["name"]).alias("n")))
+    folded = F.transform(named, lambda x: F.struct(x["a"].alias("a"), x["n"].alias("n"), normalize_person(x["n"]).alias("f")))
+
+    def made(x: Column, i: Column) -> Column:
+        a = x["a"]
+        out = F.struct(
+            F.substring(x["n"], 1, CAPS["name"]).alias("display_name"),
+            F.substring(x["f"], 1, CAPS["name"]).alias("normalized_name"),
+            F.substring(block_key(x["f"]), 1, CAPS["key"]).alias("dedupe_key"),
+            F.coalesce(null_if_empty(a["role"]), F.lit("author")).alias("role"),
+            position(i).cast("int").alias("position"),
+            clean_text(a["bio"]).alias("bio"),
+            F.coalesce(null_if_empty(a["website"]), null_if_empty(a["url"])).alias("website"),
+            null_if_empty(F.lower(a["email"])).alias("email"),
+            a["url"].alias("source_url"),
+        )
+        return F.when((F.length(x["n"]) >= 2) & (x["f"] != ""), out)
+
+    return F.transform(folded, made)
 
 
 def normalize_authors(authors: Column) -> Column:
     """The normalised authors of one report, each normalised name once, the first spelling first."""
-    kept = F.filter(F.transform(authors, normalize_author), lambda a: a.isNotNull())
-    names = F.transform(kept, lambda a: a["normalized_name"])
-    return F.filter(kept, lambda a, i: F.array_position(names, a["normalized_name"]) == i + 1)
+    kept = F.filter(_normalized(authors, lambda i: i), lambda a: a.isNotNull())
+    # held in a one-element array, the list is computed once however often the inner lambdas look at it
+    once = lambda m: F.filter(m, lambda a, i: F.array_position(F.transform(m, lambda z: z["normalized_name"]), a["normalized_name"]) == i + 1)
+    return F.get(F.transform(F.array(kept), once), F.lit(0))
 
 
 def book_dedupe_key(isbn13: Column, title: Column, first_author: Column) -> Column:

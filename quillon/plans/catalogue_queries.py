@@ -274,7 +274,7 @@ def tier_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT trim(s) AS source, count(*) AS n FROM (SELECT unnest(string_split(sources, ';')) AS s FROM lead_row) WHERE trim(s) <> '' GROUP BY 1")
 def leads_by_source(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lead_row").select(F.explode(F.split("sources", ";")).alias("s")).select(F.trim("s").alias("source"))
-    return rows.where("source <> ''").groupBy("source").agg(F.count("*").alias("n"))
+    return rows.where("source <> ''").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
 
 
 @query("SELECT count(*) AS leads, count(*) FILTER (author_emails <> '') AS with_email, count(*) FILTER (author_emails <> '' OR author_website <> '' OR author_socials <> '') AS reachable FROM lead_row")

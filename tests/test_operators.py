@@ -144,3 +144,27 @@ def test_circuit_breaker_equals_the_loop(spark):
         streak[h] = streak.get(h, 0) + 1 if bad else 0
         if streak[h] >= 3:
             dead.add(h)
+
+
+def test_title_index_against_all_pairs():
+    """The index finds what comparing every title finds, at all lengths."""
+    import random
+
+    from quillon.operators.resolve import TitleIndex, indel_ratio
+
+    rnd = random.Random(3)
+    for least in (80.0, 94.0):
+        index, titles = TitleIndex(least), []
+        for k in range(150):
+            t = "".join(rnd.choice("ab ") for _ in range(rnd.choice([0, 1, 2, 4, 9, 20, 45])))
+            t = rnd.choice(titles)[: rnd.randrange(1, 60)] + rnd.choice(["", "a", "b"]) if titles and rnd.random() < 0.5 else t
+            assert index.near(t) == [i for i, x in enumerate(titles) if indel_ratio(t, x) >= least]
+            index.add(t, k)
+            titles.append(t)
+
+
+def test_leads_need_a_known_profile(spark):
+    from quillon.operators.exporting import scored_leads
+
+    with pytest.raises(ValueError):
+        scored_leads(None, None, None, "nothing", (2026, 1), [], [])

@@ -129,3 +129,36 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert got.count() == want.count()
     counts = stream.reports_per_window(spark.createDataFrame([("s", datetime(2025, 1, 1, 5)), ("s", datetime(2025, 1, 1, 9))], "source_id string, fetched_at timestamp"))
     assert counts.first()["reports"] == 2
+
+
+def test_pages_without_anything(spark):
+    """Null and empty pages, and null addresses, give no rows or empty values, never an error."""
+    from quillon.sources import pageparts as parts
+
+    pages = spark.createDataFrame([(None, None), ("", ""), ("https://a.example/1", None), ("https://a.example/2", "<p>Nothing"), (None, "<a href=x>y</a>")], "url string, html string")
+    shops = spark.createDataFrame([("a.example", "A")], "domain string, name string")
+    assert html.structured_books(pages).count() == 0 and html.crawl_recipe(pages, html.Recipe.load("source_id: x")).count() == 0
+    assert parts.author_blocks(pages).count() == 0 and parts.contact_pages(pages).count() == 0 and parts.author_links(pages).count() == 0
+    assert parts.site_names(pages).where("site_name is not null").count() == 0 and parts.bookish_pages(pages).where("bookish").count() == 0
+    assert {tuple(r["shops"]) for r in parts.shop_links(pages, shops).collect()} == {(), ("A",)}
+    assert parts.listing_survey(pages).where("books > 0").count() == 0
+
+
+def test_microdata_items_keep_their_own_values():
+    root = html.Tree('<div itemscope itemtype="Store"><b itemprop="name">Shop</b></div><div itemscope><i itemprop="name">Sea</i><i itemprop="isbn">9780306406157</i></div>').root
+    assert [b["title"] for b in html.from_microdata(root)] == ["Sea"] and html.from_meta(root)["title"] == "Sea"
+
+
+def test_recipe_details_and_listing_fields(spark):
+    recipe = html.Recipe.load("{source_id: s, items: li, links: a, item_fields: {title: {css: b}}, fields: {publisher: {css: .p, transforms: [strip, upper]}}}")
+    pages = spark.createDataFrame([("https://a.example/", '<li><a href="/1">x</a><b>Sea</b></li><li><a href="/2">x</a><b>Hill</b></li><li><a href="/3">x</a><b>Gone</b></li>'), ("https://a.example/1", '<p class="p"> hall </p>'), ("https://a.example/2", "<h1>Other</h1>")], "url string, html string")
+    got = {r["url"]: (r["title"], r["publisher"]) for r in html.crawl_recipe(pages, recipe, pages.limit(1)).collect()}
+    assert got == {"https://a.example/1": ("Sea", "HALL"), "https://a.example/2": ("Hill", None)}
+    assert html.crawl_recipe(pages, html.Recipe("s", {}, permitted=False)).count() == 0
+    with pytest.raises(ValueError):
+        html.Recipe.load("fields: {}")
+
+
+def test_addresses_of_a_numbered_listing():
+    assert html.listing_addresses("https://a.example/?p={page}", 2, 3, 3) == ["https://a.example/?p=2", "https://a.example/?p=5", "https://a.example/?p=8"]
+    assert html.listing_addresses("https://a.example/") == ["https://a.example/"]
