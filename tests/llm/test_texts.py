@@ -161,3 +161,21 @@ def test_step_difficulties_order_the_words(spark):
     odds = fit(english(df, "i", "t"), labels).log_odds()
     best = [int(odds[brute_force_items(w)[0]].argmax()) for level in LEVELS for w in level]
     assert best == [k for k in range(5) for _ in range(5)]
+
+
+def test_unknown_languages_and_long_tags(spark):
+    en = "The cat and the dog of the house were in the sun with a red hat on. " * 2
+    rows = [(1, en), (2, "Слово и дело большого города " * 30), (3, '<p data-x="' + "the river " * 300 + '">' + en + "</p>"), (4, "zxq vbn " * 40)]
+    got = {r["id"]: list(r["words"]) for r in english(spark.createDataFrame(rows, "i bigint, t string"), "i", "t").collect()}
+    assert set(got) == {1, 3} and got[3] == got[1]
+
+
+def test_the_scale_is_fitted_until_it_settles(spark):
+    """Word and document difficulties lie on one scale: words peak at their level, documents come to theirs."""
+    docs = levelled(200, 6)
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "i bigint, t string")
+    model = fit(english(df, "i", "t"), spark.createDataFrame([(i, k) for i, _, k in docs[:60]], "id bigint, level int"))
+    a, b, c = model.items[[brute_force_items(w)[0] for level in LEVELS for w in level]].T
+    assert (c >= 0).all()
+    peak = {k: float((3 + b / (2 * c + 1e-9))[5 * k : 5 * k + 5].mean()) for k in (1, 2, 3)}
+    assert peak[1] < peak[2] < peak[3] and abs(peak[2] - 3) < 0.5
