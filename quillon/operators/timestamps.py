@@ -196,7 +196,7 @@ def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingest
 
     `violations` counts rows. A source gets a row if min_near rows are evidence by delay, or if its stated offsets match
     the history more often than those of the others do, by `significance` standard deviations. Of histories
-    that differ by less than `alike` of the evidence the one of the preferred name is taken. Sums per source and candidate leave each batch, so a frequent source is never in one task.
+    that differ by less than `alike` of the stated offsets the one of the preferred name is taken. Sums per source and candidate leave each batch, so a frequent source is never in one task.
     """
     spark = rows.sparkSession
     histories = offset_histories(spark)
@@ -236,7 +236,7 @@ def estimate_zones(rows: DataFrame, source: str, local: str, offset: str, ingest
     cost = F.round(F.col("soft") + F.col("stated") - F.col("matched") + F.round("chance"), 6)
     clear = (F.col("matched") - F.col("chance")) / F.sqrt(F.col("chance") + 1)
     scored = each.select("s", "near", (F.col("near") + F.col("stated")).alias("evidence"), cost.alias("cost"), "i", clear.alias("clear"), (F.col("early") + F.col("stated") - F.col("matched")).alias("violations"))
-    least = scored.groupBy(F.col("s").alias("s2")).agg((F.min("cost") + alike * F.first("evidence")).alias("most"))
+    least = scored.groupBy(F.col("s").alias("s2")).agg((F.min("cost") + alike * (F.first("evidence") - F.first("near"))).alias("most"))
     close = scored.join(least, F.col("s").eqNullSafe(F.col("s2"))).where("cost <= most")
     ranked = close.groupBy("s").agg(F.first("near").alias("near"), F.first("evidence").alias("evidence"), F.min(F.struct("i", "cost", "clear", "violations")).alias("one"))
     best = ranked.where((F.col("near") >= min_near) | (F.col("one.clear") >= significance))
