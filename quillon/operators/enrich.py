@@ -21,13 +21,13 @@ FACTS = "author_id, kind, value, source_id, source_url, confidence, place"
 def facts_of(rows: DataFrame, author_id: str, source_id: Column, source_url: Column, confidence: Column, place: Column, kinds: dict[str, Column]) -> DataFrame:
     """Facts from columns: one row per kind with a non-empty value."""
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.trim(v).alias("value")) for k, v in kinds.items()]))
-    long = rows.select(F.col(author_id).alias("author_id"), cells.alias("c"), source_id.alias("source_id"), source_url.alias("source_url"), confidence.cast("double").alias("confidence"), place.cast("int").alias("place"))
+    long = rows.select(F.col(author_id).alias("author_id"), cells.alias("c"), source_id.alias("source_id"), source_url.alias("source_url"), confidence.cast("double").alias("confidence"), place.cast("long").alias("place"))
     return long.select("author_id", "c.kind", "c.value", "source_id", "source_url", "confidence", "place").where("value is not null and value <> ''")
 
 
 def social_facts(rows: DataFrame, author_id: str, socials: str, source_id: Column, source_url: Column, confidence: Column, place: Column) -> DataFrame:
     """Facts from a map of network to address."""
-    long = rows.select(F.col(author_id).alias("author_id"), F.explode(socials).alias("kind", "value"), source_id.alias("source_id"), source_url.alias("source_url"), confidence.cast("double").alias("confidence"), place.cast("int").alias("place"))
+    long = rows.select(F.col(author_id).alias("author_id"), F.explode(socials).alias("kind", "value"), source_id.alias("source_id"), source_url.alias("source_url"), confidence.cast("double").alias("confidence"), place.cast("long").alias("place"))
     return long.where("value is not null and value <> ''")
 
 

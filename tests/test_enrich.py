@@ -77,3 +77,12 @@ def test_biographies_stay_whole(spark):
     rows = [(1, "bio", "b" * 1200, "a", None, 0.9, 1), (1, "website", "w" * 1200, "a", None, 0.9, 1), (1, "email", "e" * 1200, "a", None, 0.9, 1)]
     got = {r["kind"]: len(r["value"]) for r in enrich.merged_facts(spark.createDataFrame(rows, FACTS)).collect()}
     assert got == {"bio": 1200, "website": 500, "email": 500}
+
+
+def test_places_beyond_int(spark):
+    far = 2**31 + 5
+    rows = spark.createDataFrame([("ann", far + 1, "late@x.org", "https://late"), ("ann", far, "ann@x.org", "https://ann")], "name string, id long, email string, website string")
+    facts = enrich.facts_of(rows, "name", F.lit("a"), F.lit(None).cast("string"), F.lit(0.9), F.col("id"), {"website": F.col("website")})
+    social = enrich.social_facts(rows.withColumn("s", F.create_map(F.lit("x"), F.col("email"))), "name", "s", F.lit("a"), F.lit(None).cast("string"), F.lit(0.9), F.col("id"))
+    assert [(r["value"], r["place"]) for r in enrich.merged_facts(facts).collect()] == [("https://ann", far)]
+    assert [(r["value"], r["place"]) for r in enrich.merged_facts(social).collect()] == [("ann@x.org", far)]
