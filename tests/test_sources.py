@@ -162,3 +162,14 @@ def test_recipe_details_and_listing_fields(spark):
 def test_addresses_of_a_numbered_listing():
     assert html.listing_addresses("https://a.example/?p={page}", 2, 3, 3) == ["https://a.example/?p=2", "https://a.example/?p=5", "https://a.example/?p=8"]
     assert html.listing_addresses("https://a.example/") == ["https://a.example/"]
+
+
+def test_numbers_beyond_int_leave_the_other_fields(spark):
+    item = '<div itemscope itemtype="https://schema.org/Store"><b itemprop="name">Shop</b></div><div itemscope><i itemprop="name">{}</i><i itemprop="author">Ann</i><i itemprop="numberOfPages">{}</i></div>'
+    counts = {"a": str(2**31 - 1), "b": str(2**31), "c": str(10**30), "d": "9" * 400 + " pages", "e": "212 pages", "f": "many"}
+    pages = spark.createDataFrame([(f"https://a.example/{t}", item.format(t, n)) for t, n in counts.items()], "url string, html string")
+    got = {r["title"]: (r["page_count"], r["authors"]) for r in html.structured_books(pages).collect()}
+    assert got == {t: (n, ["Ann"]) for t, n in {"a": 2**31 - 1, "b": None, "c": None, "d": None, "e": 212, "f": None}.items()}
+    ld = '<script type="application/ld+json">{"@type": "Book", "name": "Sea", "aggregateRating": {"ratingCount": 3000000000, "ratingValue": 4.5}}</script>'
+    books = html.books_of_pages(spark.createDataFrame([("https://a.example/", ld)], "url string, html string")).collect()
+    assert [(b["title"], b["ratings_count"], b["average_rating"]) for b in books] == [("Sea", None, 4.5)]
