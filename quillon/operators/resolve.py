@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,7 +179,8 @@ class BookShelf:
 
 def resolve_books(books: DataFrame, id_col: str, threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """(id, book): books has title, isbn13, dedupe_key, authors (structs with dedupe_key) and arrives in order of
-    id_col. Components over ISBN, key and author blocks are independent, so each is resolved in arrival order."""
+    id_col. Components over ISBN, key and author blocks are independent, so each is resolved in arrival order, as a stream
+    of many small ones or one large one to a task."""
     from quillon.functions.text import normalize_title
     from quillon.session import stage
 
@@ -187,15 +190,20 @@ def resolve_books(books: DataFrame, id_col: str, threshold: float = TITLE_THRESH
     block = slim.select("id", F.lit(None).cast("string").alias("isbn13"), F.lit(None).cast("string").alias("dedupe_key"), F.explode("blocks").alias("block"))
     parts = book_components(isbn.unionByName(block), "id", ["isbn13", "dedupe_key", "block"]).distinct()
 
-    def shelve(df: pd.DataFrame) -> pd.DataFrame:
-        shelf, out = BookShelf(threshold), []
-        ordered = df.sort_values("id", kind="stable")
-        for i, title, isbn13, key, blocks in ordered[["id", "title", "isbn13", "dedupe_key", "blocks"]].itertuples(index=False):
-            own = [b for b in (blocks if blocks is not None else []) if b]
-            out.append((i, shelf.place(title, isbn13, key, own[0] if own else None, own)))
-        frame = pd.DataFrame(out, columns=["id", "b"])
-        first = frame.groupby("b")["id"].transform("min")
-        return pd.DataFrame({"id": frame["id"], "book": first})
+    def shelve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shelf, firsts, of = BookShelf(threshold), [], None
+        for df in batches:
+            out = []
+            for i, title, isbn13, key, blocks, component in df[["id", "title", "isbn13", "dedupe_key", "blocks", "component"]].itertuples(index=False):
+                if component != of:  # components come one after the other, and only the shelf of one is kept
+                    shelf, firsts, of = BookShelf(threshold), [], component
+                own = [b for b in (blocks if blocks is not None else []) if b]
+                at = shelf.place(title, isbn13, key, own[0] if own else None, own)
+                if at == len(firsts):
+                    firsts.append(i)
+                out.append((i, firsts[at]))
+            yield pd.DataFrame(out, columns=["id", "book"])
 
     kind = books.schema[id_col].dataType.simpleString()
-    return slim.join(parts, "id").groupBy("component").applyInPandas(shelve, f"id {kind}, book {kind}")
+    arriving = slim.join(parts, "id").repartition("component").sortWithinPartitions("component", "id")
+    return arriving.mapInPandas(shelve, f"id {kind}, book {kind}")

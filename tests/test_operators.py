@@ -168,3 +168,25 @@ def test_leads_need_a_known_profile(spark):
 
     with pytest.raises(ValueError):
         scored_leads(None, None, None, "nothing", (2026, 1), [], [])
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    from quillon.operators import graph
+
+    rnd, writes = random.Random(1), []
+
+    def counted(f):
+        def call(df, *args):
+            writes.append(1)
+            assert len(writes) < 25
+            return f(df, *args)
+
+        return call
+
+    for name in ("stage", "cut"):
+        if hasattr(graph, name):
+            monkeypatch.setattr(graph, name, counted(getattr(graph, name)))
+    chain = rnd.sample(range(1000, 1150), 150)
+    edges = [*zip(chain, chain[1:]), (1, 2), (3, 3), (5, None)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {x: min(chain) for x in chain} | {1: 1, 2: 1, 3: 3, 5: 5}
